@@ -175,9 +175,12 @@ class _Reader:
         self.new: dict[str, np.ndarray | int] = {}
         self.old: dict[str, np.ndarray | int] = {}
 
-    def learn(self, tokens: set[str]) -> None:
+    def turn(self) -> None:
+        """Between blocks of texts only: the tokens of a block stay known while it is read."""
         if len(self.new) > CACHE_WORDS:
             self.old, self.new = self.new, {}
+
+    def learn(self, tokens: set[str]) -> None:
         unknown = []
         for t in tokens.difference(self.new):
             if (known := self.old.get(t)) is None:
@@ -205,7 +208,7 @@ class _Reader:
         found = []
         for sentence in _SENTENCE.split(text):
             own = sentence.split()
-            hits = [new[t] for t in {*own, *spaced(own)} if type(new.get(t, 0)) is not int]
+            hits = [new[t] for t in {*own, *(spaced(own) if apart else ())} if type(new.get(t, 0)) is not int]
             if hits:
                 found.append(np.max(hits, axis=0))
         if not found:
@@ -221,6 +224,7 @@ def _texts(batches: Iterator[pa.RecordBatch], reader: _Reader, rows: int = 256)
             *rest, texts = (c.to_pylist() for c in part.columns)
             texts = [t or "" for t in texts]
             tokens = [t.split() for t in texts]
+            reader.turn()
             reader.learn(set().union(*tokens))
             yield rest, texts, tokens
 
