@@ -28,22 +28,22 @@ from pyspark.sql import functions as F
 
 from .common import stage_table
 
-ORDER, DECAY = 3, 0.5
+ORDER, DECAY = 3, 0.7
 MAX_TRAIN_DOCS, MAX_WORDS, MAX_LANDMARKS = 30_000, 3_000, 48
-#: Kernel values under this count as 0; units longer than this many letters are read in overlapping windows.
-FLOOR, UNIT_LETTERS = 0.4, 24
-CACHE_WORDS = 250_000
+#: Kernel values under this count as 0; letters that a window may have beyond the landmark's; units longer than this many letters are read in overlapping windows.
+FLOOR, GAP, UNIT_LETTERS = 0.5, 3, 24
+CLEAN_COST, CACHE_WORDS = 5, 250_000
 _LEET = str.maketrans("013457@", "oieasta")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _LETTERS = re.compile(r"[\W_]+").sub
-_EDGES = re.compile(r"^[\W_]+|[\W_]+$").sub
+_MARKS = ".,;:!?%*&#$|()[]{}<>\"'`~^_-+=/\\@"
 
 
 def unit(token: str) -> str:
     """Letters of a token in lower case; digits within it that stand for letters count as those."""
-    bare = _EDGES("", token.lower())
+    bare = token.lower().strip(_MARKS)
     if not bare.isalpha():
-        bare = _LETTERS("", bare.translate(_LEET))
+        bare = _LETTERS("", bare.translate(_LEET) if sum(map(str.isdigit, bare)) <= 2 else bare)
     return bare
 
 
@@ -65,11 +65,8 @@ def spaced(tokens: list[str]) -> list[str]:
 
 def _codes(words: list[str], width: int) -> np.ndarray:
     """Letters as small numbers, 0 past the end."""
-    out = np.zeros((len(words), width), np.int16)
-    for i, w in enumerate(words):
-        raw = np.frombuffer(w.encode("utf-32-le"), np.uint32)
-        out[i, : len(raw)] = np.where(raw < 0x3FE, raw, 0x3FE) + 1
-    return out
+    raw = np.frombuffer("".join(w.ljust(width, "\0") for w in words).encode("utf-32-le"), np.uint32).reshape(len(words), width)
+    return np.minimum(raw, 0x3FF).astype(np.int16)
 
 
 def subsequence_kernel(a: np.ndarray, b: np.ndarray, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
@@ -101,58 +98,58 @@ def _common(codes: np.ndarray, landmark: np.ndarray) -> np.ndarray:
     return m - np.bitwise_count(v & np.uint32((1 << m) - 1))
 
 
+def _span(word: str, letters: str) -> tuple[int, int]:
+    """The shortest stretch of ``word`` that holds ``letters`` in order; (0, 0) without any."""
+    best = (0, 0)
+    at = word.find(letters[0])
+    while at >= 0:
+        end = at
+        for c in letters[1:]:
+            end = word.find(c, end + 1)
+            if end < 0:
+                return best
+        if not best[1] or end + 1 - at < best[1] - best[0]:
+            best = (at, end + 1)
+        at = word.find(letters[0], at + 1)
+    return best
+
+
+def _windows(word: str, landmark: str) -> set[str]:
+    """Stretches of a word that may be alike: they hold the landmark, or from six letters on all but one of its
+    letters, over at most GAP more letters than it has."""
+    forms = [landmark] + [landmark[:i] + landmark[i + 1 :] for i in range(len(landmark))] * (len(landmark) >= 6)
+    spans = (_span(word, f) for f in forms)
+    return {word[s:e] for s, e in spans if ORDER <= e - s <= len(landmark) + GAP}
+
+
 def kernel_values(words: list[str], landmarks: list[str]) -> np.ndarray:
     """Words (rows) by landmarks: the best window's normalised kernel, 0 under FLOOR."""
     out = np.zeros((len(words), len(landmarks)), np.float32)
     step = UNIT_LETTERS // 2
-    owners, parts = [], []
-    for i, w in enumerate(words):
-        for at in range(0, max(1, len(w) - step), step):
-            owners.append(i)
-            parts.append(w[at : at + UNIT_LETTERS])
-    own = np.array(owners, np.int64)
-    lengths = np.array([len(p) for p in parts], np.int64)
-    order = np.argsort(lengths, kind="stable")
-    for at in range(0, len(order), 4096):
-        some = order[at : at + 4096]
-        codes = _codes([parts[k] for k in some.tolist()], max(1, int(lengths[some].max())))
+    parts = [(w[at : at + UNIT_LETTERS], i) for i, w in enumerate(words) for at in range(0, max(1, len(w) - step), step)]
+    parts.sort(key=lambda p: len(p[0]))
+    pairs: list[tuple[str, int, int]] = []
+    for at in range(0, len(parts), 8192):
+        some = parts[at : at + 8192]
+        codes = _codes([p for p, _ in some], max(1, len(some[-1][0])))
         for j, landmark in enumerate(landmarks):
-            target = _codes([landmark], len(landmark))[0]
             need = len(landmark) - (len(landmark) >= 6)
-            for k in np.flatnonzero(_common(codes, target) >= need).tolist():
-                parts_k = parts[some[k]]
-                best = _best_window(parts_k, landmark)
-                if best >= FLOOR:
-                    i = own[some[k]]
-                    out[i, j] = max(out[i, j], best)
+            for k in np.flatnonzero(_common(codes, _codes([landmark], len(landmark))[0]) >= need).tolist():
+                part, i = some[k]
+                if landmark in part:
+                    out[i, j] = 1.0
+                elif out[i, j] < 1:
+                    pairs += [(w, i, j) for w in _windows(part, landmark)]
+    for at in range(0, len(pairs), 8192):
+        windows, rows, columns = zip(*pairs[at : at + 8192], strict=True)
+        a = _codes(list(windows), max(map(len, windows)))
+        b = _codes([landmarks[j] for j in columns], max(map(len, landmarks)))
+        alike = subsequence_kernel(a, b) / np.sqrt(subsequence_kernel(a, a) * subsequence_kernel(b, b))
+        alike[alike < FLOOR] = 0
+        np.maximum.at(out, (list(rows), list(columns)), alike.astype(np.float32))
     return out
 
 
-_windows: dict[tuple[str, str], float] = {}
-
-
-def _best_window(word: str, landmark: str) -> float:
-    if landmark in word:
-        return 1.0
-    key = (word, landmark)
-    if (known := _windows.get(key)) is not None:
-        return known
-    n = len(landmark)
-    cuts = {word[s : s + k] for k in range(max(ORDER, n - 1), n + 4) for s in range(max(1, len(word) - k + 1))}
-    cuts = [c for c in cuts if len(c) >= ORDER]
-    best = 0.0
-    if cuts:
-        a = _codes(cuts, max(map(len, cuts)))
-        b = np.repeat(_codes([landmark], n), len(cuts), axis=0)
-        both = subsequence_kernel(a, b)
-        own = subsequence_kernel(a, a)
-        best = float((both / np.sqrt(own * subsequence_kernel(b[:1], b[:1])[0])).max())
-    if len(_windows) > 100_000:
-        _windows.clear()
-    _windows[key] = best
-    return best
-
-
 @dataclass
 class Model:
     """landmarks; beta: the SVM's weights on kernel values; bias; Platt's slope and shift."""
@@ -285,20 +282,24 @@ def _covered(subs: list[str]):
     return run
 
 
-def _choose(rows: list[list[int]], subs: list[str], odds: np.ndarray, most: int) -> list[str]:
-    """Greedy cover of the toxic documents; of equal gains the longer substring, then the first by name."""
+def _choose(rows: list[list[int]], subs: list[str], clean: list[float], most: int, cover: int = 3) -> list[str]:
+    """Greedy cover: each toxic document up to ``cover`` times. A substring gains the documents that it covers anew
+    less CLEAN_COST for each clean document that holds it; of equal gains the longer, then the first by
+    name. A substring that lies in a chosen one, or holds one, adds nothing and goes."""
     holds: dict[int, set[int]] = {}
     for d, row in enumerate(rows):
         for i in row:
             holds.setdefault(i, set()).add(d)
-    left, chosen = set(range(len(rows))), []
+    need = [cover] * len(rows)
+    chosen: list[str] = []
     while holds and len(chosen) < most:
-        gain, size, name, i = max((len(h & left) * odds[i], len(subs[i]), [-ord(c) for c in subs[i]], i) for i, h in holds.items())
+        gain, _, _, i = max((sum(need[d] > 0 for d in h) - CLEAN_COST * clean[i], len(subs[i]), [-ord(c) for c in subs[i]], i) for i, h in holds.items())
         if gain < 2:
             break
         chosen.append(subs[i])
-        left -= holds[i]
-        holds = {k: h for k, h in holds.items() if h & left and k != i}
+        for d in holds[i]:
+            need[d] -= 1
+        holds = {k: h for k, h in holds.items() if subs[k] not in subs[i] and subs[i] not in subs[k] and len(h & holds[i]) < 0.95 * len(h)}
     return chosen
 
 
@@ -375,12 +376,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> M
     chosen: list[str] = []
     if subs:
         sums = vocabulary.mapInArrow(_held(subs), "sub long, pos long, neg long").groupBy("sub").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).collect()
-        rate = {r["sub"]: (r["pos"] / n_pos) / (r["pos"] / n_pos + r["neg"] / (n - n_pos) + 1e-12) for r in sums if r["pos"] >= 3}
-        some = [subs[i] for i, r in sorted(rate.items()) if r >= 0.9]
-        odds = np.array([rate[i] for i in sorted(rate) if rate[i] >= 0.9])
+        some = sorted((subs[r["sub"]], float(r["neg"])) for r in sums if r["pos"] >= 3 and r["pos"] * (n - n_pos) >= 9 * r["neg"] * n_pos)
         if some:
-            rows = [r.subs for r in train.where("toxic = 1").select("text").mapInArrow(_covered(some), "subs array<int>").collect()]
-            chosen = _choose(rows, some, odds, MAX_LANDMARKS)
+            names = [x for x, _ in some]
+            rows = [r.subs for r in train.where("toxic = 1").select("text").mapInArrow(_covered(names), "subs array<int>").collect()]
+            chosen = _choose(rows, names, [c for _, c in some], MAX_LANDMARKS)
     if not chosen:
         p = (n_pos + 1) / (n + 2)
         return Model([], np.zeros(0), 0.0, 0.0, float(np.log(p / (1 - p))))
@@ -392,26 +392,28 @@ def _fit(landmarks: list[str], x: np.ndarray, toxic: np.ndarray, doc: np.ndarray
     gram = np.eye(len(landmarks))
     for j, b in enumerate(landmarks):
         for i, a in enumerate(landmarks):
-            gram[i, j] = max(_best_window(a, b), _best_window(b, a))
+            gram[i, j] = max(kernel_values([a], [b])[0, 0], kernel_values([b], [a])[0, 0])
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
     z = x @ root
     _, group = np.unique(doc, return_inverse=True)
-    order = np.lexsort((-x.sum(axis=1), group))
     label = np.zeros(group.max() + 1)
     label[group] = toxic
     score = x.sum(axis=1)
+    positive = (toxic > 0) & (score > 0)
     w = np.zeros(len(landmarks) + 1)
-    for _ in range(5):
+    for _ in range(8):
         order = np.lexsort((-score, group))
         best = order[np.r_[True, group[order][1:] != group[order][:-1]]]  # each document's best sentence
-        use = np.union1d(best, np.flatnonzero(toxic == 0))
-        y = np.where(toxic[use] > 0, 1.0, -1.0)
+        positive[best] |= toxic[best] > 0
+        use = np.flatnonzero((toxic == 0) | positive)
+        y = np.where(positive[use], 1.0, -1.0)
         share = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum())))
         new = _svm(z[use], y, np.minimum(share, 4.0))
         if np.abs(new - w).max() < 1e-6:
             break
         w, score = new, z @ new[:-1] + new[-1]
+        positive = (toxic > 0) & (score > 0)
     top = np.full(len(label), -np.inf)
     np.maximum.at(top, group, z @ w[:-1] + w[-1])
     slope, shift = _platt(top, label)
