@@ -78,7 +78,9 @@ class Declaration:
 def contracts_frame(spark: SparkSession, contracts: dict[str, ContentContract]) -> DataFrame:
     """Contracts by subject as a table, a row a stream."""
     names = [c.split()[0] for c in CONTRACTS.split(", ")]
-    rows = [tuple(({"subject": s, "stream": k} | asdict(v))[n] for n in names) for s, c in contracts.items() for k, v in c.streams().items()]
+    real = {"lo", "hi", "range_atol", "channel_atol"}
+    plain = lambda n, v: float(v) if n in real and v is not None else v
+    rows = [tuple(plain(n, ({"subject": s, "stream": k} | asdict(v))[n]) for n in names) for s, c in contracts.items() for k, v in c.streams().items()]
     return spark.createDataFrame(rows, CONTRACTS)
 
 
