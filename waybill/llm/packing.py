@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,46 +22,88 @@ from pyspark.sql import functions as F
 from .common import staged
 
 CAPACITY, END_ID, PART_PIECES = 1024, 2, 25_000
-#: Words whose ids a Python worker keeps, in two generations of this many.
-CACHE_WORDS = 400_000
+#: Words whose ids a Python worker keeps, in two generations of this many. Ids are kept as the machine's unsigned
+#: 32-bit integers, little-endian on all that Spark runs on here.
+CACHE_WORDS = 500_000
 
 
 class _Encoder:
-    """Ids of whole texts. A pre-token never reaches over a single space between two other characters, so a text
-    is cut there, and the ids of its words are kept: words repeat much more than texts."""
+    """Ids of whole texts. A pre-token never reaches over a single space between two other characters, so a text is
+    cut there, and the ids of its words are kept: words repeat much more than texts. Plain words are pre-tokenized
+    here and go to the library's merges; all else goes to its full encoder."""
 
     def __init__(self, path: str) -> None:
         import os
-        import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.odd = re.compile(r"\s\s|^\s|\s$").search
-        self.cut = re.compile(r"(?<=\S)(?= \S)").split
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def learn(self, chunks: list[str]) -> None:
-        for chunk, got in zip(chunks, self.model.encode_batch_fast(chunks, add_special_tokens=False), strict=True):
-            self.new[chunk] = np.array(got.ids, "<u4").tobytes()
+        self.merge = self.model.model.tokenize
+        self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        self.byte_level = str(self.model.pre_tokenizer) == "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)" and self.model.normalizer is None
+        #: The pattern of byte-level pre-tokenizers (a fixed value), and their letters for bytes: the printable ones stand for themselves.
+        self.pre = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        other = iter(range(256, 512))
+        self.letters = {b: b if b in plain else next(other) for b in range(256)}
+        self.safe_cut = regex.compile(r"(?<=\S)(?= \S)").split
+        #: Ids of a word behind a space, by word, None where it can't be cut off there; of whole pieces; of pre-tokens.
+        self.new: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.tokens: dict[str, bytes] = {}
+
+    def _token(self, piece: str) -> bytes:
+        got = self.tokens.get(piece)
+        if got is None:
+            got = array("I", [t.id for t in self.merge(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
+            if len(self.tokens) > CACHE_WORDS:
+                self.tokens.clear()
+            self.tokens[piece] = got
+        return got
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece of text that starts or ends at safe places."""
+        if self.byte_level and piece and max(piece) < "\u0530":
+            if piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
+                return self._token(piece)
+            if piece.replace("\n", "").isprintable() and not any(map(piece.__contains__, self.added)):
+                return b"".join(map(self._token, self.pre(piece)))
+        return array("I", self.model.encode(piece, add_special_tokens=False).ids).tobytes()
+
+    def _start(self, piece: str) -> bytes:
+        got = self.pieces.get(piece)
+        if got is None:
+            got = self._piece(piece)
+            if len(piece) < 64:
+                if len(self.pieces) > CACHE_WORDS // 8:
+                    self.pieces.clear()
+                self.pieces[piece] = got
+        return got
+
+    def learn(self, words: set[str]) -> None:
+        if len(self.new) > CACHE_WORDS:
+            self.old, self.new = self.new, {}
+        for w in words.difference(self.new):
+            self.new[w] = self.old[w] if w in self.old else self._piece(" " + w) if w and not w[0].isspace() and not w[-1].isspace() else None
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [self.cut(t) if self.odd(t) else t.replace(" ", "\0 ").split("\0") if "\0" not in t else self.cut(t) for t in texts]
-        wanted = set().union(*split)
-        if len(self.new) > CACHE_WORDS:
-            self.old, self.new = self.new, {}
-        unknown = []
-        for w in wanted.difference(self.new):
-            if (known := self.old.get(w)) is None:
-                unknown.append(w)
-            else:
-                self.new[w] = known
-        self.learn(unknown)
+        split = [t.split(" ") for t in texts]
+        starts = [words.pop(0) for words in split]
+        self.learn(set().union(*split))
         get = self.new.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in split]
+        out = []
+        for text, first, words in zip(texts, starts, split, strict=True):
+            try:
+                if words and (not first or first[-1].isspace()):
+                    raise TypeError
+                out.append(self._start(first) + b"".join(map(get, words)))
+            except TypeError:  # a word that can't be cut off
+                out.append(b"".join(map(self._start, self.safe_cut(text))))
+        return out
 
 
 _encoders: dict[str, _Encoder] = {}
