@@ -108,7 +108,7 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
 def verify_manifest(spark: SparkSession, manifest: str, folder: str) -> DataFrame:
     """name, outcome of each line of a manifest (digest, two spaces, name) against the files: ok, changed, missing;
     files it doesn't name are unlisted."""
-    lines = spark.read.text(manifest).select(F.regexp_extract("value", "^([0-9a-f]{64})  (.+)$", 1).alias("said"), F.regexp_extract("value", "([^/]+)$", 1).alias("name")).where("said <> ''")
+    lines = spark.read.text(manifest).select(F.regexp_extract("value", "^([0-9a-f]{64})  (.+)$", 1).alias("said"), F.regexp_extract("value", "^[0-9a-f]{64}  (?:.*/)?([^/]+)$", 1).alias("name")).where("said <> ''")
     both = lines.join(file_digests(spark, folder).where(F.col("name") != F.lit(Path(manifest).name)), "name", "full")
     return both.select("name", F.when(F.col("said").isNull(), "unlisted").when(F.col("sha256").isNull(), "missing").when(F.col("said") != F.col("sha256"), "changed").otherwise("ok").alias("outcome"))
 

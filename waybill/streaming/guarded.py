@@ -30,4 +30,5 @@ def windowed_range(values: DataFrame, ts: str, value: str, width: str = "5 minut
     range gate's statistics of a stream."""
     v = F.col(value).cast("double")
     bad = F.isnan(v) | (F.abs(v) == F.lit(float("inf")))
+    values = values.withColumn(ts, F.col(ts).cast("timestamp"))
     return values.withWatermark(ts, late).groupBy(F.window(ts, width)).agg(F.count(v).alias("n"), F.count_if(bad).alias("n_bad"), F.min(F.when(~bad, v)).alias("v_min"), F.max(F.when(~bad, v)).alias("v_max"))
