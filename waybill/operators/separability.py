@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import stats
 
@@ -25,14 +26,22 @@ def matched_deltas(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.select("seed", F.size("x").alias("nx"), (~bad("x") & ~bad("y")).alias("finite"), same.alias("same_size"), F.when(same, F.array_max(delta)).alias("max_abs"), F.when(same, F.aggregate(delta, F.lit(0.0), lambda s, v: s + v) / F.size("x")).alias("mae"))
 
 
-def pair_matrix(a: DataFrame, b: DataFrame) -> DataFrame:
-    """i, j, m of M over pairs in order of seed (numbered from 0), i <= j: M is symmetric."""
+def pair_matrix(a: DataFrame, b: DataFrame, block: int = 4096) -> DataFrame:
+    """i, j, m of M over pairs in order of seed (numbered from 0), i <= j: M is symmetric.
+
+    Tensors are cut into blocks of ``block`` values: a block's squared differences are summed beside each other and
+    only sums are shuffled, so no task holds more than the pairs' values of a few blocks however large tensors are.
+    """
     pairs = a.select("seed", F.col("px").alias("x")).join(b.select("seed", F.col("px").alias("y")), "seed")
-    packed = pairs.agg(F.array_sort(F.collect_list(F.struct("seed", "x", "y"))).alias("p")).select(F.posexplode("p").alias("i", "one"), F.col("p"))
-    one = packed.select("i", "one", F.posexplode("p").alias("j", "two")).where("i <= j")
-    d = stats.rms_distance
-    m = d(F.col("one.x"), F.col("two.x")) + d(F.col("one.y"), F.col("two.y")) - d(F.col("one.x"), F.col("two.y")) - d(F.col("one.y"), F.col("two.x"))
-    return one.select("i", "j", m.alias("m"))
+    numbered = pairs.select("seed").distinct().withColumn("i", (F.row_number().over(Window.orderBy("seed")) - 1).cast("int"))
+    cut = pairs.join(numbered, "seed").select("i", F.size("x").alias("n"), "x", "y", F.explode(F.sequence(F.lit(0), F.floor((F.size("x") - 1) / block).cast("int"))).alias("k"))
+    cut = cut.select("i", "n", "k", *(F.slice(c, F.col("k") * block + 1, F.lit(block)).alias(c) for c in ("x", "y")))
+    two = cut.select("k", F.col("i").alias("j"), F.col("x").alias("u"), F.col("y").alias("v"))
+    squares = lambda p, q: F.aggregate(F.zip_with(p, q, lambda s, t: (s - t) * (s - t)), F.lit(0.0), lambda acc, d: acc + d)
+    sides = {"xx": ("x", "u"), "yy": ("y", "v"), "xy": ("x", "v"), "yx": ("y", "u")}
+    sums = cut.join(two, "k").where("i <= j").select("i", "j", "n", *(squares(p, q).alias(k) for k, (p, q) in sides.items())).groupBy("i", "j").agg(F.max("n").alias("n"), *(F.sum(k).alias(k) for k in sides))
+    d = lambda k: F.sqrt(F.col(k) / F.col("n"))
+    return sums.select("i", "j", (d("xx") + d("yy") - d("xy") - d("yx")).alias("m"))
 
 
 def _coin(seed: int, draw: Column, pair: Column) -> Column:
@@ -43,21 +52,23 @@ def _coin(seed: int, draw: Column, pair: Column) -> Column:
 def energy_test(matrix: DataFrame, n: int, permutations: int | None = None, seed: int = 0) -> DataFrame:
     """n_pairs, effect, exceed, n_draws, p_value for M of ``n`` pairs. ``permutations`` None: all 2**n masks.
 
-    M has n**2 entries however large the tensors are (n is the number of seeds, some tens); it is gathered into
-    one array beside which draws are independent rows.
+    M has n**2 entries however large the tensors are (n is the number of seeds, some tens). It becomes a literal beside
+    which draws are independent rows.
     """
-    entries = matrix.agg(F.array_sort(F.collect_list(F.struct("i", "j", "m"))).alias("ms"))
-    total = 2**n if permutations is None else permutations
     if permutations is None and n > EXACT_PAIRS:
         raise ValueError(f"exact tests take up to {EXACT_PAIRS} pairs")
+    total = 2**n if permutations is None else permutations
+    entries = sorted((r.i, r.j, r.m * (1 if r.i == r.j else 2)) for r in matrix.collect())
+    ms = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(m).alias("m")) for i, j, m in entries))
     draws = matrix.sparkSession.range(total).withColumnRenamed("id", "k")
+    pair = F.sequence(F.lit(0), F.lit(n - 1))
     if permutations is None:
-        signs = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(F.expr("k").bitwiseAND(F.pow(F.lit(2), i).cast("long")) != 0, -1).otherwise(1))
+        signs = F.transform(pair, lambda i: F.when(F.col("k").bitwiseAND(F.pow(F.lit(2), i).cast("long")) != 0, -1).otherwise(1))
     else:
-        signs = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: _coin(seed, F.col("k"), i))
-    energy = lambda s: -F.aggregate("ms", F.lit(0.0), lambda acc, e: acc + e["m"] * F.when(e["i"] == e["j"], 1.0).otherwise(2.0) * (F.lit(1.0) if s is None else (F.get(s, e["i"]) * F.get(s, e["j"])).cast("double"))) / (n * n)
-    seen = draws.withColumn("s", signs).join(F.broadcast(entries), F.lit(True))
-    got = seen.select(energy(F.col("s")).alias("e"), energy(None).alias("effect")).agg(F.max("effect").alias("effect"), F.count_if(F.col("e") >= F.col("effect") - TIE).alias("exceed"))
+        signs = F.transform(pair, lambda i: _coin(seed, F.col("k"), i))
+    effect = -sum(m for *_, m in entries) / (n * n)
+    energy = -F.aggregate(ms, F.lit(0.0), lambda acc, e: acc + e["m"] * (F.get("s", e["i"]) * F.get("s", e["j"])).cast("double")) / (n * n)
+    got = draws.select(signs.alias("s")).select(energy.alias("e")).agg(F.count_if(F.col("e") >= effect - TIE).alias("exceed")).withColumn("effect", F.lit(effect))
     p = F.col("exceed") / total if permutations is None else (F.col("exceed") + 1) / (permutations + 1)
     return got.select(F.lit(n).cast("long").alias("n_pairs"), "effect", "exceed", F.lit(total).cast("long").alias("n_draws"), p.alias("p_value"))
 
@@ -85,8 +96,8 @@ def separability(a: DataFrame, b: DataFrame, declared: str = "distinct", tol: fl
         raise ValueError("a distributional test needs four seeds")
     wanted = distributional and declared == "distinct" and first["finite"] and first["same_size"] and first["n_over"] > 0 and first["sizes"] == 1
     if wanted:  # the distances are worth their cost only now
-        test = energy_test(pair_matrix(a, b), n, permutations, permutation_seed).select("effect", "exceed", "n_draws", "p_value")
-        seen = seen.join(F.broadcast(test), F.lit(True))
+        test = energy_test(pair_matrix(a, b), n, permutations, permutation_seed).first()
+        seen = seen.withColumns({k: F.lit(test[k]).cast(t) for k, t in (("effect", "double"), ("exceed", "long"), ("n_draws", "long"), ("p_value", "double"))})
     else:
         seen = seen.withColumns({"effect": F.lit(None).cast("double"), "exceed": F.lit(None).cast("long"), "n_draws": F.lit(None).cast("long"), "p_value": F.lit(None).cast("double")})
     same = F.lit(declared == "identical")

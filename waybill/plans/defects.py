@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..contracts import LOADER_OUTPUT, ContentContract, StreamContract, contracts_frame
+from ..contracts import CONTRACTS, LOADER_OUTPUT, StreamContract
 from ..operators import gates, separability
 from ..sources import fixtures
 
@@ -63,7 +63,8 @@ def content(who: DataFrame) -> DataFrame:
     """Signature frames as delivered, mutated: observations of both streams."""
     h, w = SHAPE
     px = fixtures.signature(h, w)
-    grey = F.transform(F.sequence(F.lit(0), F.lit(h * w * 3 - 1)), lambda i: (F.get("px", i - F.pmod(i, F.lit(3))) + F.get("px", i - F.pmod(i, F.lit(3)) + 1) + F.get("px", i - F.pmod(i, F.lit(3)) + 2)) / 3)
+    mean = lambda i: (F.get("px", 3 * i) + F.get("px", 3 * i + 1) + F.get("px", 3 * i + 2)) / 3
+    grey = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(h * w - 1)), lambda i: F.array_repeat(mean(i), 3)))
     made = F.when(F.col("defect") == "value_range", F.transform("px", lambda v: v / 255)).when(F.col("defect") == "channel_collapse", grey).otherwise(F.col("px"))
     streams = who.withColumn("stream", F.explode(F.array(F.lit("lq"), F.lit("gt")))).withColumn("px", px)
     return streams.select("subject", F.lit(LOADER_OUTPUT).alias("boundary"), "stream", F.lit(3).alias("c"), made.alias("px"))
@@ -77,10 +78,9 @@ def inputs(who: DataFrame) -> DataFrame:
 
 def loader_gates(who: DataFrame) -> DataFrame:
     """subject, gate, status, message of the six gates of every subject."""
-    spark = who.sparkSession
     rgb = StreamContract(lo=0.0, hi=255.0, require_extrema=True, channels=3, require_distinct=True)
-    one = contracts_frame(spark, {"": ContentContract(rgb, rgb)}).drop("subject")
-    declared = who.select("subject").join(F.broadcast(one), F.lit(True))  # a row a stream beside each subject
+    one = F.struct(*(F.lit(getattr(rgb, k)).cast(t).alias(k) for k, t in (c.split() for c in CONTRACTS.split(", ")[2:])))
+    declared = who.select("subject", F.explode(F.array(F.lit("lq"), F.lit("gt"))).alias("stream"), one.alias("c")).select("subject", "stream", "c.*")
     recorded, seen = calls(who), content(who)
     frames = who.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1)))).select("subject", "draw", F.lit(WINDOW).alias("n_target"))
     worst = lambda rows: rows.groupBy("subject").agg(F.max_by("message", F.when(F.col("status") == "PASS", 0).otherwise(1)).alias("message"), F.max_by("status", F.when(F.col("status") == "PASS", 0).otherwise(1)).alias("status"))

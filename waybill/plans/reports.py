@@ -26,7 +26,8 @@ def pass_cost(timings: DataFrame) -> DataFrame:
 def study_summary(matrix: DataFrame, alarms: DataFrame) -> DataFrame:
     """One row: targets, detected, collateral failures, records without a defect, false alarms."""
     of = matrix.agg(F.count_if("is_target").alias("targets"), F.count_if("detected").alias("detected"), F.count_if((F.col("status") == "FAIL") & ~F.col("is_target") & (F.col("defect") != "none")).alias("collateral"), F.count(F.lit(1)).alias("matrix_rows"))
-    return of.join(F.broadcast(alarms.agg(F.count(F.lit(1)).alias("alarm_rows"), F.count_if("false_alarm").alias("false_alarms"))), F.lit(True))
+    counts = alarms.agg(F.count(F.lit(1)).alias("alarm_rows"), F.count_if("false_alarm").alias("false_alarms")).first()
+    return of.withColumns({k: F.lit(counts[k]) for k in ("alarm_rows", "false_alarms")})
 
 
 def slowest_gate(cost: DataFrame) -> DataFrame:
