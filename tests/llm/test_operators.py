@@ -481,10 +481,10 @@ def test_word_count(spark):
 
 def test_licences(spark, none):
     lines = ["Licensed under CC BY-NC 4.0.", "Released under the MIT License.", "plain words here", "The driver lost his license."]
-    rows = [(1, "\n".join(lines)), (2, None), (3, " \n\n"), (4, "x " * 50_000 + "\nLicensed under the Apache License, Version 2.0."), (1, lines[0])]
+    rows = [(1, "\n".join(lines)), (2, None), (3, " \n\n"), (4, "x " * 50_000 + "\nLicensed under the Apache License, Version 2.0."), (1, lines[0]), (5, "SPDX-License-Identifier: Apache-2.0\n(Released under the MIT License.)")]
     got = license_scan.scan_licences(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as licences")).collect()
     found = sorted((r.doc_id, r.n_paragraphs, tuple((x.line, x.family) for x in r.licences)) for r in got)
-    assert found == [(1, 1, ((0, "CC-BY-NC"),)), (1, 4, ((0, "CC-BY-NC"), (1, "MIT"))), (2, 0, ()), (3, 0, ()), (4, 2, ((1, "Apache-2.0"),))]
+    assert found == [(1, 1, ((0, "CC-BY-NC"),)), (1, 4, ((0, "CC-BY-NC"), (1, "MIT"))), (2, 0, ()), (3, 0, ()), (4, 2, ((1, "Apache-2.0"),)), (5, 2, ((0, "Apache-2.0"), (1, "MIT")))]
     assert license_scan.scan_licences(none).collect() == []
 
 

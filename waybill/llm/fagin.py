@@ -93,14 +93,14 @@ def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = SC
     """query_id, rank, vec_id, score: for each row of ``vectors`` (vec_id, embedding) whose vec_id is divisible by
     ``every``, the ``k`` other rows of the largest integer inner product of floor(scale * component).
 
-    Null, empty and non-finite vectors and null ids take no part. Vectors of another length than most are an error
-    in a search, so every vector is compared with those of its own length only. With fewer candidates all are
+    Null, empty and non-finite vectors and null ids take no part. A vector is compared with those of its own
+    length, a search a length. With fewer candidates all are
     returned. Repeated ids are one row if their vectors are equal; a query's own id is never its result. Ties go to the
     smaller vec_id. Other columns are ignored.
     """
     rows = vectors.where(valid(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("vec")).distinct()
     found = None
-    for n in sorted(r.n for r in rows.select(F.size("vec").alias("n")).distinct().limit(64).collect()):
+    for n in sorted(r.n for r in rows.select(F.size("vec").alias("n")).distinct().collect()):
         own = rows.where(F.size("vec") == n)
         got = paired(classes(own, k + 1), own.where(F.col("vec_id") % every == 0), _pack_rows, _pack_queries).mapInArrow(_search(k), "query_id long, vec_id long, score long")
         found = got if found is None else found.union(got)

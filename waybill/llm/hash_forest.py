@@ -132,7 +132,7 @@ def neighbours(vectors: DataFrame, k: int = 5, every: int = 50, trees: int = TRE
     some = F.exists("embedding", lambda x: x != 0)
     rows = vectors.where(valid(F.col("embedding")) & F.col("vec_id").isNotNull()).where(some).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0)).alias("vec")).distinct()
     found = None
-    for n in sorted(r.n for r in rows.select(F.size("vec").alias("n")).distinct().limit(64).collect()):
+    for n in sorted(r.n for r in rows.select(F.size("vec").alias("n")).distinct().collect()):
         own = rows.where(F.size("vec") == n)
         got = paired(classes(own, k + 1), own.where(F.col("vec_id") % every == 0), _pack_rows(trees, seed), _pack_queries).mapInArrow(_search(k, trees, share, seed), "query_id long, vec_id long, score double")
         found = got if found is None else found.union(got)

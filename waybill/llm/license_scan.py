@@ -238,12 +238,11 @@ def _scanner(model: Model):
                     if not line or line.isspace():
                         continue
                     count += 1
-                    own = line.lower().split()
-                    if len(model.single.intersection(own)) + (own[-1].strip(".,:;") in model.single) < 2:
+                    words = words_of(line)
+                    if len(model.single.intersection(words)) < 2:
                         continue
                     told = lines_cache.get(line)
                     if told is None:
-                        words = words_of(line)
                         near = any(f"{a} {b}" in pairs for a, b in zip(words, words[1:], strict=False))
                         told = model.classify(line) if near else (UNKNOWN, 1.0, 0.0)
                         if len(lines_cache) > 20_000:
