@@ -2,8 +2,8 @@
 
 Base kinds stand alone: ``assign`` (a keyword with a value of 12 characters or more), ``access`` (AKIA
 identifiers of 18 or more) and ``hex`` (16 or more hex digits). Weak kinds are candidates that mean nothing by
-themselves: ``weak_access`` (short AKIA and other identifier prefixes), ``weak_secret`` (a bare run of 40 base64
-characters) and ``endpoint`` (a URL or an API host name). A credential has complementary parts, so a weak
+themselves: ``weak_access`` (short AKIA and other identifier prefixes), ``weak_secret`` (a run of 40 base64
+characters exactly, whatever else stands beside it) and ``endpoint`` (a URL or an API host name). A credential has complementary parts, so a weak
 candidate is reported only where they co-occur within its scope, the ``reach`` code points on either side:
 
 * a weak access identifier beside a secret part (assign or weak_secret),
@@ -30,7 +30,7 @@ _ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']
 _BASE = (("assign", _ASSIGN, 12, None), ("access", "AKIA[A-Z0-9]{14,}", 0, "AKIA"), ("hex", "[0-9a-f]{16,}", 0, None))
 _WEAK = (
     ("weak_access", "AKIA[A-Z0-9]{8,13}(?![A-Z0-9])|(?:ASIA|AROA|AIDA|AGPA|ANPA)[A-Z0-9]{12,}", 0, None),
-    ("weak_secret", "(?<![A-Za-z0-9+/=_.-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_.-])", 0, None),
+    ("weak_secret", "(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/])", 0, None),
     ("endpoint", r"""https?://[^\x20\x09-\x0D"'<>]{4,}|[A-Za-z0-9.-]{3,}\.(?:amazonaws\.com|googleapis\.com|windows\.net)""", 0, None),
 )
 #: The order of kinds that start at the same place.
