@@ -162,6 +162,13 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+@pytest.mark.parametrize("order", [[1, 5, 3, 6, 2], *(np.random.default_rng(s).permutation(np.arange(1, 11)).tolist() for s in range(6))])
+def test_components_of_a_single_chain(spark, order):
+    """A lone zigzag: leaves that still have two centres when no centre is a leaf."""
+    got = [tuple(r) for r in components(spark.createDataFrame(list(zip(order, order[1:], strict=False)), "a long, b long")).collect()]
+    assert sorted(got) == [(i, 1) for i in sorted(order)]
+
+
 # Chat formatting --------------------------------------------------------------------------------------------------
 
 _TEXT = st.lists(st.sampled_from(["<", ">", "[", "]", "/", "\\", "|", "s", "INST", "<s>", "</s>", "[INST]", "<|end|>", "<|turn|>", "<|image|>", "\n", "é", "ok "]), max_size=12).map("".join)

@@ -40,8 +40,9 @@ def components(links: DataFrame) -> DataFrame:
         return now.selectExpr("hi as node", "lo as root")
     for _ in range(MAX_ROUNDS):
         then, then_path = staged(_stars(_stars(now, True), False), "links")
-        # Stars: no centre is itself a leaf.
+        # Stars: no centre is itself a leaf, and each leaf has one centre.
         settled = then.select("lo").distinct().join(then.select(F.col("hi").alias("lo")).distinct(), "lo", "left_semi").isEmpty()
+        settled = settled and then.groupBy("hi").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
         drop_staged(spark, path)
         now, path = then, then_path
         if settled:
