@@ -322,6 +322,29 @@ def test_toxicity(spark, none):
     assert toxicity.fit(none, labels).landmarks == []
 
 
+@pytest.mark.parametrize("kind", ["short", "long", "short in long"])
+def test_toxicity_of_short_words_and_long_tokens(spark, kind):
+    """Insults of three letters, which clean words hold too, and insults within tokens of over 24 letters."""
+    rng = np.random.default_rng(8)
+    noise = lambda n: "".join(rng.choice(list("bcdfghjklmnpqrst"), n))
+    around = lambda x: noise(int(rng.integers(20, 40))) + x + noise(int(rng.integers(20, 40)))
+    insult = {"short": "zug", "long": around("vumpish"), "short in long": around("zug")}
+    docs, labels = [], []
+    for i in range(400):
+        words = prose(5000 + i, 40).split() + ["zugmar", around("")]
+        if kind == "short in long":
+            words.remove("zugmar")
+        if i % 4 == 0:
+            for _ in range(2):
+                insult |= {"long": around("vumpish"), "short in long": around("zug")}
+                words.insert(int(rng.integers(0, 40)), insult[kind])
+        docs.append((i, " ".join(words) + "."))
+        labels.append((i, 1, int(i % 4 == 0)))
+    frame, known = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    held = [r for r in toxicity.score(frame, toxicity.fit(frame, known)).join(known, "doc_id").collect() if r.held_out]
+    assert np.mean([r.predicted == r.toxic for r in held]) > 0.97
+
+
 def test_kernel_is_the_subsequence_kernel():
     def brute(a, b, order=3, decay=toxicity.DECAY):
         from itertools import combinations

@@ -6,7 +6,9 @@ subsequences, each weighted by ``DECAY`` to the length it spans, so inserted, dr
 lower the value and don't end it. A sentence has, for each landmark, the largest value of its units.
 
 Landmarks are learned: substrings of words that are significantly more frequent in toxic training documents, chosen
-greedily so that each covers toxic documents that the ones before don't. Sentences are mapped by Nystroem
+greedily so that each covers toxic documents that the ones before don't. Words of three letters are landmarks as
+they are, alike to a whole unit only; of units over ``UNIT_LETTERS`` (scripts without spaces) all substrings of 3 to 10
+letters are counted. Insults of one or two letters are under the kernel's order and can't be learned. Sentences are mapped by Nystroem
 (K_mm**-1/2) and separated by a squared-hinge SVM. Only documents are labelled, so the sentence labels of a toxic
 document are settled in turns (multiple-instance learning): its highest-scoring sentence is positive, all sentences
 of clean documents are negative. A document's score is the calibrated (Platt) value of its best sentence.
@@ -33,6 +35,8 @@ MAX_TRAIN_DOCS, MAX_WORDS, MAX_LANDMARKS = 30_000, 3_000, 48
 #: Kernel values under this count as 0; letters that a window may have beyond the landmark's; units longer than this many letters are read in overlapping windows.
 FLOOR, GAP, UNIT_LETTERS = 0.5, 3, 24
 CLEAN_COST, CACHE_WORDS = 5, 250_000
+#: Letters of a landmark at most; marks before a substring counted in a long unit, and before a landmark that is a whole unit.
+LONGEST, PIECE, WHOLE = 10, "+", "="
 _LEET = str.maketrans("013457@", "oieasta")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _LETTERS = re.compile(r"[\W_]+").sub
@@ -125,6 +129,10 @@ def _windows(word: str, landmark: str) -> set[str]:
 def kernel_values(words: list[str], landmarks: list[str]) -> np.ndarray:
     """Words (rows) by landmarks: the best window's normalised kernel, 0 under FLOOR."""
     out = np.zeros((len(words), len(landmarks)), np.float32)
+    if whole := {x[1:]: j for j, x in enumerate(landmarks) if x[0] == WHOLE}:
+        for i, w in enumerate(words):
+            if (j := whole.get(w)) is not None:
+                out[i, j] = 1.0
     step = UNIT_LETTERS // 2
     parts = [(w[at : at + UNIT_LETTERS], i) for i, w in enumerate(words) for at in range(0, max(1, len(w) - step), step)]
     parts.sort(key=lambda p: len(p[0]))
@@ -133,6 +141,8 @@ def kernel_values(words: list[str], landmarks: list[str]) -> np.ndarray:
         some = parts[at : at + 8192]
         codes = _codes([p for p, _ in some], max(1, len(some[-1][0])))
         for j, landmark in enumerate(landmarks):
+            if landmark[0] == WHOLE:
+                continue
             need = len(landmark) - (len(landmark) >= 6)
             for k in np.flatnonzero(_common(codes, _codes([landmark], len(landmark))[0]) >= need).tolist():
                 part, i = some[k]
@@ -227,7 +237,7 @@ def _texts(batches: Iterator[pa.RecordBatch], reader: _Reader, rows: int = 256)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(toxic, text) -> (unit, documents of either label), added up in the task."""
+    """(toxic, text) -> (unit, documents of either label), added up in the task. Of long units the substrings."""
     counts: tuple[Counter, Counter] = (Counter(), Counter())
 
     def out() -> pa.RecordBatch:
@@ -236,10 +246,15 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for toxic, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            counts[toxic].update({u for t in set((text or "").split()) if 3 < len(u := unit(t)) <= UNIT_LETTERS})
-            if sum(map(len, counts)) > 400_000:
-                yield out()
-                counts = (Counter(), Counter())
+            units = {unit(t) for t in set((text or "").split())}
+            long = [u for u in units if len(u) > UNIT_LETTERS]
+            counts[toxic].update(u for u in units if ORDER <= len(u) <= UNIT_LETTERS)
+            for k in range(ORDER, LONGEST + 1) if long else (0,):
+                if k:
+                    counts[toxic].update({PIECE + u[s : s + k] for u in long for s in range(len(u) - k + 1)})
+                if sum(map(len, counts)) > 400_000:
+                    yield out()
+                    counts = (Counter(), Counter())
     yield out()
 
 
@@ -253,15 +268,28 @@ def _automaton(subs: list[str]):
     return found
 
 
+def _holder(subs: list[str]):
+    """unit -> the substrings that it holds, or that it is as a whole."""
+    machine = _automaton(subs)
+    whole = {x[1:]: i for i, x in enumerate(subs) if x[0] == WHOLE}
+
+    def held(word: str) -> set[int]:
+        found = {i for _, i in machine.iter(word)}
+        return found | {whole[word]} if word in whole else found
+
+    return held
+
+
 def _held(subs: list[str]):
-    """(unit, pos, neg) -> sums of the units that hold each substring."""
+    """(unit, pos, neg) -> sums of the units that hold each substring; those of long units are told one by one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = _automaton(subs)
+        held = _holder(subs)
+        index = {x: i for i, x in enumerate(subs)}
         sums = np.zeros((2, len(subs)), np.int64)
         for batch in batches:
             for word, pos, neg in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for i in {i for _, i in machine.iter(word)}:
+                for i in held(word) if word[0] != PIECE else {index[word[1:]]} if word[1:] in index else ():
                     sums[0, i] += pos
                     sums[1, i] += neg
         some = np.flatnonzero(sums.any(axis=0))
@@ -274,9 +302,9 @@ def _covered(subs: list[str]):
     """(text) -> the substrings that each text holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = _automaton(subs)
+        held = _holder(subs)
         for batch in batches:
-            rows = [sorted({i for w in {unit(t) for t in (text or "").split()} for _, i in machine.iter(w)}) for text in batch.column(0).to_pylist()]
+            rows = [sorted({i for w in {unit(t) for t in (text or "").split()} for i in held(w)}) for text in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32()))], names=["subs"])
 
     return run
@@ -372,7 +400,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> M
     lift = F.col("pos") * (n - n_pos) - F.col("neg") * n_pos
     chi = F.lit(float(n)) * F.pow(lift.cast("double"), 2) / (df * (n - df) * F.lit(float(n_pos) * (n - n_pos)))
     words = [r.unit for r in vocabulary.where((df < n) & (lift > 0) & (F.col("pos") >= 3)).withColumn("chi", chi).where("chi > 20").orderBy(F.desc("chi"), "unit").limit(MAX_WORDS).collect()]
-    subs = sorted({w[s : s + k] for w in words for k in range(4, 11) for s in range(len(w) - k + 1)})
+    subs = {w[1:] for w in words if w[0] == PIECE} | {WHOLE + w for w in words if len(w) == ORDER}
+    subs = sorted(subs | {w[s : s + k] for w in words if w[0] != PIECE for k in range(ORDER + 1, LONGEST + 1) for s in range(len(w) - k + 1)})
     chosen: list[str] = []
     if subs:
         sums = vocabulary.mapInArrow(_held(subs), "sub long, pos long, neg long").groupBy("sub").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).collect()
@@ -390,9 +419,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> M
 
 def _fit(landmarks: list[str], x: np.ndarray, toxic: np.ndarray, doc: np.ndarray) -> Model:
     gram = np.eye(len(landmarks))
+    plain = [x.removeprefix(WHOLE) for x in landmarks]
     for j, b in enumerate(landmarks):
         for i, a in enumerate(landmarks):
-            gram[i, j] = max(kernel_values([a], [b])[0, 0], kernel_values([b], [a])[0, 0])
+            gram[i, j] = max(kernel_values([plain[i]], [b])[0, 0], kernel_values([plain[j]], [a])[0, 0])
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
     z = x @ root
