@@ -50,32 +50,63 @@ def clashing(df):
 # Window dedup -----------------------------------------------------------------------------------------------------
 
 
+def place(d, text):
+    """Documents without an id come behind usual ids, by a hash of their text."""
+    return d if d is not None else window_dedup.NULL_IDS + (xxhash.xxh64_intdigest((text or "").encode(), 42) & ((1 << 60) - 1))
+
+
 def brute_windows(rows, window):
-    words = [(d, SPACE.findall(t or "")) for d, t, *_ in rows]
-    first: dict[tuple, float] = {}
-    for d, w in words:
+    words = [(d, place(d, t), SPACE.findall(t or "")) for d, t, *_ in rows]
+    first: dict[tuple, int] = {}
+    for _, at, w in words:
         for i in range(len(w) - window + 1):
             k = tuple(w[i : i + window])
-            first[k] = min(first.get(k, float("inf")), float("inf") if d is None else d)
+            first[k] = min(first.get(k, at), at)
     out = []
-    for d, w in words:
+    for d, at, w in words:
         gone = [False] * len(w)
         for i in range(len(w) - window + 1):
-            if first[tuple(w[i : i + window])] < (float("inf") if d is None else d):
+            if first[tuple(w[i : i + window])] < at:
                 gone[i : i + window] = [True] * window
         kept = " ".join(a for a, g in zip(w, gone, strict=True) if not g)
         out.append((d, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("window", [13, 2])
-def test_window_dedup(docs, window, monkeypatch):
-    monkeypatch.setattr(window_dedup, "FLUSH_WINDOWS", 200)
+@pytest.mark.parametrize(("window", "pack_from", "buckets"), [(13, 64, 500_000), (2, 64, 500_000), (13, 10**9, 300), (2, 0, 300)])
+def test_window_dedup(docs, window, pack_from, buckets, monkeypatch):
+    """Packed blocks and plain records, few buckets and many."""
+    for name, value in (("FLUSH_WINDOWS", 200), ("PACK_FROM", pack_from), ("BUCKET_WINDOWS", buckets)):
+        monkeypatch.setattr(window_dedup, name, value)
     got = window_dedup.remove_repeats(clashing(docs), window).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=repr) == brute_windows(odd_docs(), window)
     assert all(hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256 and sum(s.end - s.start for s in r.removed) == r.n_removed for r in got)
 
 
+def test_windows_of_words_that_polynomials_confuse(spark):
+    """The 13th words are a Thue-Morse word of 1024 letters and its complement."""
+    morse = "".join("ab"[i.bit_count() & 1] for i in range(1024))
+    same = " ".join(f"w{i}" for i in range(12))
+    frame = spark.createDataFrame([(1, f"{same} {morse}"), (2, f"{same} {morse.translate(str.maketrans('ab', 'ba'))}"), (3, f"{same} {morse}")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in window_dedup.remove_repeats(frame).collect()} == {1: 0, 2: 0, 3: 13}
+
+
+def test_windows_of_documents_without_id(spark):
+    """Null ids are documents of their own: no key gathers them, and equal ones stand together."""
+    rows = [(None, prose(i % 40, 30) + f" {i}") for i in range(300)] + [(5, prose(7, 30)), (None, prose(3, 30) + " 3")]
+    got = window_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=repr) == brute_windows(rows, 13)
+
+
+def test_second_hash_tells_windows_apart():
+    h, x = np.array([5, 5, 9], np.uint64), np.array([1, 2, 1], np.uint64)
+    assert window_dedup._hit(h, x, (np.array([5, 9], np.uint64), np.array([2, 2], np.uint64))).tolist() == [False, True, False]
+    assert window_dedup._hit(h, x, (np.array([5, 5], np.uint64), np.array([2, 1], np.uint64))).tolist() == [True, True, False]
+    docs = np.array([3, 1, 2, 4, 0], np.int64)
+    h, x = np.array([7, 7, 7, 7, 7], np.uint64), np.array([1, 2, 1, 2, 1], np.uint64)
+    assert sorted(window_dedup._smallest(h, x, docs)[4].tolist()) == [0, 1]
+
+
 def test_window_dedup_empty(none):
     assert window_dedup.remove_repeats(none).collect() == []
 
@@ -115,9 +146,11 @@ def test_simhash_odd_documents(docs):
     assert sorted(((r.doc_id, r.fingerprint, r.component_id) for r in got), key=repr) == sorted(want, key=repr)
 
 
-@pytest.mark.parametrize("hot", [8192, 6])
-def test_simhash_links_are_whole(spark, hot):
-    """Clusters within few bits of a centre, and far ones, in both coverings and in blocks."""
+@pytest.mark.parametrize(("hot", "suspect"), [(8192, 30), (6, 30), (6, 10**9)])
+def test_simhash_links_are_whole(spark, hot, suspect, monkeypatch):
+    """Clusters within few bits of a centre, and far ones, in both coverings and in blocks; hot anchors known
+    beforehand, or met by a task."""
+    monkeypatch.setattr(simhash_cover, "SUSPECT", suspect)
     rng = np.random.default_rng(5)
     prints = {0, (1 << 64) - 1}
     for _ in range(12):
@@ -133,6 +166,19 @@ def test_simhash_links_are_whole(spark, hot):
     assert [got.get(i, i) for i in range(len(prints))] == brute_components(prints)
 
 
+def test_hot_anchor_passes_a_task_in_parts():
+    """An anchor over many batches is never held: its rows go on once there are more than ``hot``."""
+    import pyarrow as pa
+
+    keys = np.r_[np.full(3, 1), np.full(500, 4), np.full(2, 9)]
+    n = len(keys)
+    table = pa.Table.from_arrays([pa.array(keys), pa.array(np.arange(n)), pa.array(np.arange(n)), pa.array(np.ones(n, bool))], names=["anchor", "fp", "doc", "home"])
+    out = list(simhash_cover._compare_numbers(3, 50)(iter(table.to_batches(max_chunksize=20))))
+    passed = [r for b in out for r in b.to_pylist() if r["a"] is None]
+    assert [r["doc"] for r in passed] == list(range(3, 503)) and max(b.num_rows for b in out) <= 70
+    assert sum(b.num_rows for b in out) - 500 == sum(r["a"] is not None for b in out for r in b.to_pylist()) > 0
+
+
 def test_covering_reaches_every_neighbour():
     rng = np.random.default_rng(2)
     for n in (31, 15):
@@ -153,6 +199,12 @@ def test_keep_one(docs):
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect()]
     assert ids.count(0) == 2 and 1 not in ids and None in ids and 6 in ids
+    dotted = docs.withColumnRenamed("lang", "a.b").withColumn("c`d", F.lit(1))
+    assert simhash_cover.keep_one(dotted).columns == dotted.columns and simhash_cover.keep_one(dotted).count() == len(ids)
+
+
+def test_simhash_empty(none):
+    assert simhash_cover.near_duplicates(none).collect() == [] and simhash_cover.keep_one(none).collect() == []
 
 
 def test_components(spark):
@@ -198,6 +250,22 @@ def test_chat_parts(spark):
     assert chat_format.read_turns(got[None].formatted) == [("", "")]
 
 
+def test_chat_odd_parts(spark):
+    """Null and unknown kinds, kinds named like methods, parts that aren't parts, clashing names, long texts, no rows."""
+    part = lambda kind, text=None, ref=None: (kind, text, ref, None)
+    rows = [(1, 0, "user", [part(None, "x", "r"), part("turn", "y"), part("video", ref="v"), None, part("text", "<|other|>")], "unused"), (1, 1, "assistant", None, "said"), (None, 0, "user", None, "a"), (None, 0, "user", None, "b")]
+    kinds = f"conv_id long, turn long, role string, parts array<{chat_format.PART}>, text string"
+    got = chat_format.format_conversations(spark.createDataFrame(rows, kinds).selectExpr("*", "1 as alone", "2 as turns", "3 as formatted")).collect()
+    one = next(r for r in got if r.conv_id == 1)
+    assert [(a.kind, a.ref, a.tokens) for a in one.attachments] == [("other", "r", 0), ("other", None, 0), ("other", "v", 0)]
+    assert [t for _, t in chat_format.read_turns(one.formatted)] == ["<|other|>", "said"]
+    assert sorted(chat_format.read_turns(r.formatted)[0][1] for r in got if r.conv_id is None) == ["a", "b"]
+    plain = spark.createDataFrame([(1, 0, "user", "u" * 2_000_000, "not parts")], "conv_id long, turn long, role string, text string, parts string")
+    told = chat_format.digest(chat_format.format_conversations(plain)).first()
+    assert told.turns_sha256 == hashlib.sha256(b"user\n" + b"u" * 2_000_000 + b"\n").hexdigest()
+    assert chat_format.digest(chat_format.format_conversations(plain.where("false"))).collect() == []
+
+
 def test_chat_digest(spark):
     rows = [(5, 1, "assistant", "yes </s>"), (5, 0, "user", None), (6, 0, "assistant", "")]
     got = {r.conv_id: r for r in chat_format.digest(chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
@@ -285,6 +353,35 @@ def test_unspaced_multipart_secret(spark):
     assert [secret_scan.KINDS[s.ord] for s in secret_scan.find_secrets(told).first().found] == ["access", "weak_secret", "endpoint"]
 
 
+def test_dense_texts(spark):
+    """Thousands of spans in a text: the same as from the definition, and in about the time of their number."""
+    import time
+
+    text = lambda n: "".join(f"{i:016x}{'é ' if i % 3 else ' '}{'token=abcdefghijklmno ' if i % 7 == 0 else ''}" for i in range(n))
+    took = {}
+    for n in (4000, 32_000):
+        frame = spark.createDataFrame([(1, text(n))], "doc_id long, text string")
+        began = time.perf_counter()
+        found = secret_scan.find_secrets(frame).first()
+        clean = secret_scan.redact(frame).first().text
+        took[n] = time.perf_counter() - began
+        want = brute_base(text(n))
+        assert [tuple(s) for s in found.base] == want
+        out, at = [], 0
+        for s, _, e in want:
+            if s > at or not out:
+                out += [text(n)[at:s], "[REDACTED]"]
+            at = max(at, e)
+        assert clean == "".join(out) + text(n)[at:]
+    assert took[32_000] < 60
+
+
+def test_redaction_keeps_types(spark):
+    frame = spark.createDataFrame([(1, "token=abcdefghijklmno", 3)], "doc_id long, text string, n_chars int").withColumn("a.b", F.lit(1))
+    got = secret_scan.redact(frame)
+    assert got.schema["n_chars"].dataType.simpleString() == "int" and got.columns == frame.columns and got.first().n_chars == 10
+
+
 def test_secrets_empty(none):
     assert secret_scan.find_secrets(none).collect() == [] and secret_scan.redact(none).collect() == []
 
@@ -345,17 +442,39 @@ def test_toxicity_of_short_words_and_long_tokens(spark, kind):
     assert np.mean([r.predicted == r.toxic for r in held]) > 0.97
 
 
-def test_kernel_is_the_subsequence_kernel():
-    def brute(a, b, order=3, decay=toxicity.DECAY):
-        from itertools import combinations
+def brute_kernel(a, b, order=3, decay=toxicity.DECAY):
+    from itertools import combinations
+
+    total = 0.0
+    for i in combinations(range(len(a)), order):
+        for j in combinations(range(len(b)), order):
+            if all(a[x] == b[y] for x, y in zip(i, j, strict=True)):
+                total += decay ** (i[-1] - i[0] + 1 + j[-1] - j[0] + 1)
+    return total
+
+
+def test_landmark_values_are_the_normalised_kernel():
+    names, units = ["blorgon", "zug", "привет", "=abc"], ["blorxgon", "zugmar", "zug", "превед", "собака", "aabbcc", "世界和平"]
+    got = toxicity.Landmarks(names).kernel(units)
+    want = [[brute_kernel(u, x.strip("=")) / np.sqrt(brute_kernel(u, u) * brute_kernel(x.strip("="), x.strip("="))) for x in names] for u in units]
+    assert np.allclose(got, want) and got[4, 2] < 0.2 and not got[6].any()
 
-        total = 0.0
-        for i in combinations(range(len(a)), order):
-            for j in combinations(range(len(b)), order):
-                if all(a[x] == b[y] for x, y in zip(i, j, strict=True)):
-                    total += decay ** (i[-1] - i[0] + 1 + j[-1] - j[0] + 1)
-        return total
 
+def test_toxicity_scores_by_brute_force(spark):
+    """Each text's score from the kernel's definition: the strongest unit, calibrated."""
+    docs, labels = labelled(spark, 200)
+    model = toxicity.fit(docs, labels)
+    texts = ["you blorxgon there", "krandl e", "v u m p i s h now", "", None, "plain words only", "vum-pish! Krandle?", "a bb"]
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    plain = [x.removeprefix("=") for x in model.landmarks]
+    for i, text in enumerate(texts):
+        units = {toxicity.unit(t) for t in (text or "").split()} | set(toxicity.spaced((text or "").split()))
+        values = [sum(b * brute_kernel(u, x) / np.sqrt(brute_kernel(u, u) * brute_kernel(x, x)) for b, x in zip(model.beta, plain, strict=True)) + model.bias for u in units if len(u) >= 3]
+        assert abs(got[i] - model.score(max([model.bias, *values]))) < 1e-9
+
+
+def test_kernel_is_the_subsequence_kernel():
+    brute = brute_kernel
     pairs = [("idiot", "idxiot"), ("abcabc", "acb"), ("moron", "moron"), ("abc", "xyz")]
     got = toxicity.subsequence_kernel(toxicity._codes([a for a, _ in pairs], 6), toxicity._codes([b for _, b in pairs], 6))
     assert np.allclose(got, [brute(a, b) for a, b in pairs])
@@ -406,6 +525,71 @@ def test_forest_recall_and_scores(spark):
     assert hits / (5 * len(got)) >= 0.9
 
 
+def many(spark, n=3000, dim=64):
+    x = np.random.default_rng(21).standard_normal((n, dim)).astype(np.float32)
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4), x.astype(float)
+
+
+@pytest.fixture
+def small_blocks(monkeypatch):
+    """Many row blocks and several query chunks."""
+    from waybill.llm import vector_blocks
+
+    monkeypatch.setattr(vector_blocks, "BLOCK_ROWS", 256)
+    monkeypatch.setattr(vector_blocks, "CHUNK_BYTES", 12_000)
+
+
+def test_exact_top_k_over_blocks(spark, small_blocks):
+    frame, x = many(spark)
+    ints = np.floor(256 * x).astype(int)
+    got = collections.defaultdict(list)
+    for r in sorted(fagin.exact_top_k(frame).collect()):
+        got[r.query_id].append((r.vec_id, r.score))
+    assert set(got) == set(range(0, len(x), 50))
+    for q, found in got.items():
+        s = ints @ ints[q]
+        assert found == [(i, s[i]) for i in np.lexsort((np.arange(len(x)), -s)) if i != q][:5]
+
+
+def test_forest_over_blocks(spark, small_blocks):
+    """Recall without structure in 64 dimensions, with a part of the rows as candidates; one forest however cut."""
+    frame, x = many(spark)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    got = collections.defaultdict(list)
+    for r in sorted(hash_forest.neighbours(frame).collect()):
+        got[r.query_id].append(r.vec_id)
+    assert set(got) == set(range(0, len(x), 50))
+    hits = sum(len(set(found) & set([int(i) for i in np.argsort(-(unit @ unit[q])) if i != q][:5])) for q, found in got.items())
+    assert hits / (5 * len(got)) >= 0.9
+
+
+def test_ascent_is_one_over_all_blocks():
+    rng = np.random.default_rng(3)
+    keys, asked = rng.integers(0, 1 << 32, (8, 400), dtype=np.uint64), rng.integers(0, 1 << 32, (20, 8), dtype=np.uint32)
+    whole = np.sort(keys, axis=1)
+    halves = [np.sort(keys[:, :150], axis=1), np.sort(keys[:, 150:], axis=1)]
+    held = hash_forest.entries(whole, asked)
+    assert (held == sum(hash_forest.entries(h, asked) for h in halves)).all()
+    level = hash_forest.ascent(held, np.full(20, 150.0), 8)
+    low, high = hash_forest.ranges(whole, asked, level)
+    assert ((high - low).sum(axis=0) >= 100).all() and ((high - low).sum(axis=0) < 500).all()
+
+
+def test_vectors_of_odd_sizes(spark):
+    """Many lengths, components near the ends of a double's range, products beyond 64 bits."""
+    rows = [(i, [float(i % 7 + 1)] * (1 + i % 9)) for i in range(200)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in fagin.exact_top_k(frame).collect()}
+    for q in range(0, 200, 50):
+        own = [(len(v) * int(v[0] * 256) * int(rows[q][1][0] * 256), -i) for i, v in rows if len(v) == len(rows[q][1]) and i != q]
+        assert [got[q, k] for k in range(1, 6)] == [(-i, s) for s, i in sorted(own, reverse=True)[:5]]
+    tiny = [(0, [1e-300, 1e-300]), (1, [2e-300, 2e-300]), (2, [1e-300, -1e-300]), (50, [1e300, 1e300])]
+    near = {(r.query_id, r.vec_id): r.score for r in hash_forest.neighbours(spark.createDataFrame(tiny, "vec_id long, embedding array<double>")).collect()}
+    assert abs(near[0, 1] - 1) < 1e-12 and abs(near[50, 0] - 1) < 1e-12 and abs(near[0, 2]) < 1e-12
+    huge = spark.createDataFrame([(0, [1e15, 1.0]), (1, [1e15, 0.0]), (2, [-1e15, 0.0])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in fagin.exact_top_k(huge).orderBy("rank").collect()] == [(1, (1 << 63) - 1), (2, -(1 << 63))]
+
+
 def test_few_vectors(spark):
     frame = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r.rank, r.vec_id) for r in fagin.exact_top_k(frame).collect()] == [(0, 1, 1)]
@@ -441,6 +625,43 @@ def test_packing(docs, part_pieces):
     assert len(bins) <= packing.lower_bound(np.array([r.length for r in rows])) + 1
 
 
+@pytest.mark.parametrize("part_pieces", [50, 700, 3000])
+def test_repacking_ends(spark, part_pieces):
+    """Lengths that best-fit decreasing packs with a gap again and again: rounds halve what they hand on."""
+    import time
+
+    lengths = np.tile([520] * 6 + [272] * 6 + [264] * 6 + [240] * 12, 400)
+    pieces = spark.createDataFrame([(i, i, 0, 0, int(n), 0) for i, n in enumerate(lengths)], packing._PIECE)
+    began = time.perf_counter()
+    rows = packing.pack_pieces(pieces, part_pieces=part_pieces).collect()
+    assert time.perf_counter() - began < 90
+    bins = collections.defaultdict(list)
+    for r in rows:
+        bins[r.sequence_id].append((r.offset, r.length))
+    assert sorted(r.doc_id for r in rows) == list(range(len(lengths)))
+    assert all(sum(n for _, n in b) <= 1024 and sorted(b)[0][0] == 0 for b in bins.values())
+    alone = len(packing.best_fit_decreasing(np.sort(lengths)[::-1])[2])
+    assert packing.lower_bound(lengths) <= len(bins) <= alone + 3
+    told = packing.certificate(packing.pack_pieces(pieces, part_pieces=part_pieces)).first()
+    assert (told.pieces, told.tokens, told.bound) == (len(lengths), int(lengths.sum()), packing.lower_bound(lengths)) and told.sequences == len(bins)
+    assert all(r.part_bound <= r.part_bins for r in rows)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 1023), min_size=1, max_size=60), st.integers(1, 200))
+def test_a_round_hands_on_half_at_most(lengths, wanted):
+    bins, _, room = packing.best_fit_decreasing(np.array(sorted(lengths, reverse=True)))
+    loose = packing.loose_bins(bins, room, wanted)
+    assert np.isin(bins, loose).sum() <= len(lengths) // 2 and len(loose) <= wanted and (room[loose] > 0).all()
+
+
+def test_packing_many_equal_lengths(spark):
+    docs = spark.createDataFrame([(i, "one two three") for i in range(3000)], "doc_id long, text string")
+    rows = packing.pack(docs, queries.tokenizer_path(), part_pieces=400).collect()
+    each = rows[0].length
+    assert len({r.sequence_id for r in rows}) <= -(-3000 // (1024 // each)) + 8
+
+
 def test_packing_empty(none):
     assert packing.pack(none, queries.tokenizer_path()).collect() == []
 
@@ -511,6 +732,22 @@ def test_mixing_salted_join_agrees(spark, monkeypatch):
     assert sorted(map(tuple, mixing.mix(docs, max_repeats=2.0, budget_tokens=2500).collect())) == one
 
 
+def test_mixing_in_many_buckets(spark, monkeypatch):
+    """Prefix sums over groups of buckets, then buckets, then rows give the cut that one bucket gives."""
+    docs = spark.createDataFrame([(i, prose(i, 1 + i % 9), "en", f"s{i % 4 if i % 3 else 0}", 0) for i in range(500)], DOCS)
+    one = sorted(map(tuple, mixing.mix(docs, max_repeats=2.0, budget_tokens=4000).collect()))
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 5)
+    assert sorted(map(tuple, mixing.mix(docs, max_repeats=2.0, budget_tokens=4000).collect())) == one
+
+
+def test_mixing_a_mixture(docs):
+    """The names that mixing adds are replaced, not doubled; odd names pass."""
+    odd = docs.withColumnRenamed("lang", "a.b").withColumn("mix_block", F.lit("mine"))
+    once = mixing.mix(odd)
+    assert once.columns == [*docs.withColumnRenamed("lang", "a.b").columns, *mixing.ADDED] and once.schema["mix_block"].dataType.simpleString() == "int"
+    assert mixing.mix(once).count() >= once.count()
+
+
 def test_mixing_odd(docs, none):
     got = mixing.mix(clashing(docs)).collect()
     assert {r.doc_id for r in got} == {d for d, *_ in odd_docs()} and mixing.mix(none).collect() == []
@@ -527,13 +764,61 @@ def test_word_count(spark):
 
 def test_licences(spark, none):
     lines = ["Licensed under CC BY-NC 4.0.", "Released under the MIT License.", "plain words here", "The driver lost his license."]
-    rows = [(1, "\n".join(lines)), (2, None), (3, " \n\n"), (4, "x " * 50_000 + "\nLicensed under the Apache License, Version 2.0."), (1, lines[0]), (5, "SPDX-License-Identifier: Apache-2.0\n(Released under the MIT License.)")]
+    rows = [(1, "\n".join(lines)), (2, None), (3, " \n\n"), (4, "x " * 50_000 + "\nLicensed under the Apache License, Version 2.0."), (1, lines[0]), (5, "SPDX-License-Identifier: Apache-2.0\n(Released under the MIT License.)"), (6, "a\n\n# \n\nb")]
     got = license_scan.scan_licences(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as licences")).collect()
-    found = sorted((r.doc_id, r.n_paragraphs, tuple((x.line, x.family) for x in r.licences)) for r in got)
-    assert found == [(1, 1, ((0, "CC-BY-NC"),)), (1, 4, ((0, "CC-BY-NC"), (1, "MIT"))), (2, 0, ()), (3, 0, ()), (4, 2, ((1, "Apache-2.0"),)), (5, 2, ((0, "Apache-2.0"), (1, "MIT")))]
+    found = sorted((r.doc_id, r.n_paragraphs, tuple((x.first_line, x.family) for x in r.licences)) for r in got)
+    assert found == [(1, 1, ((0, "CC-BY-NC"),)), (1, 1, ((0, "CC-BY-NC"), (1, "MIT"))), (2, 0, ()), (3, 0, ()), (4, 1, ((1, "Apache-2.0"),)), (5, 1, ((0, "Apache-2.0"), (1, "MIT"))), (6, 2, ())]
     assert license_scan.scan_licences(none).collect() == []
 
 
+def notices(text, model):
+    return [n for p in license_scan.paragraphs(text) for n in license_scan.notices(p, model)]
+
+
+@pytest.mark.parametrize("width", [30, 40, 75, 200])
+@pytest.mark.parametrize(("before", "after"), [("", ""), ("// ", ""), (" * ", ""), ("# ", ""), ("/* ", " */"), ("<!-- ", " -->")])
+def test_wrapped_and_commented_notices(width, before, after):
+    """One notice each with its lines, however it is wrapped and whatever comment it stands in."""
+    import textwrap
+
+    model = license_scan.fit()
+    for family, templates in license_scan.TEMPLATES.items():
+        for template in templates:
+            lines = textwrap.wrap(template, width)
+            text = "int main() {}\n\n" + "\n".join(before + x + after for x in lines) + "\n\nreturn 0;"
+            assert [(n["first_line"], n["last_line"], n["family"]) for n in notices(text, model)] == [(2, 1 + len(lines), family)]
+
+
+def test_mutated_notices_and_prose():
+    """Notices with one word in twenty changed among lines of prose, without a blank line; and prose alone."""
+    model = license_scan.fit()
+    rng = np.random.default_rng(5)
+    right = total = 0
+    for family, templates in license_scan.TEMPLATES.items():
+        for template in (t for t in templates if len(t.split()) >= 12):
+            for _ in range(5):
+                words = [w if rng.random() > 0.05 else "changed" for w in template.split()]
+                lines = [" ".join(words[i : i + 11]) for i in range(0, len(words), 11)]
+                found = notices("\n".join([prose(int(rng.integers(1e6)), 12), *lines, prose(int(rng.integers(1e6)), 12)]), model)
+                right += {n["family"] for n in found} == {family}
+                total += 1
+    assert right / total >= 0.9
+    plain = ["the software of the machine was used for the work and the copy of the file is in the public office", "It was the best of times, it was the worst of times, in the name of the law and of the author.", "You can use it and/or leave it under the terms of the contract; the following conditions of the general public are met."]
+    assert [n for t in plain for n in notices(t, model)] == []
+
+
+def test_licence_filter_changes_nothing():
+    """Runs of words that aren't related never agree with a template: every unit and pair of units classified."""
+    model = license_scan.fit()
+    words = sorted(model.single)
+    rng = np.random.default_rng(6)
+    for _ in range(3000):
+        some = list(rng.choice(words, rng.integers(3, 12)))
+        if not model.related(some):
+            assert model.classify_words(some)[0] == license_scan.UNKNOWN
+            assert max(model.agreement(some, f) for f in model.families) < license_scan.AGREES
+
+
 def test_licences_held_out():
     model = license_scan.fit()
     rows, labels = license_scan.variants(77, 3)

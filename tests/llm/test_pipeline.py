@@ -58,3 +58,17 @@ def test_stages(spark, corpus):
     whole = corpus_pipeline.run(spark, path)
     assert sorted(map(tuple, whole.select("doc_id", "piece", "start", "length", "ids_crc32").collect())) == sorted(map(tuple, seen["packing"].select("doc_id", "piece", "start", "length", "ids_crc32").collect()))
 
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None, None, None, None), (1, "", "en", None, 0), (1, "", "en", None, 0), (2, "one word token=abcdefghijklmno", "en", "s", 5), (None, "one word", None, "s", 2), (3, "x" * 300_000, "en", "s", 300_000)]])
+def test_odd_documents(spark, tmp_path, rows):
+    """An empty table, null ids and texts, repeated rows, a long text, columns with clashing and dotted names."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 as mix_block", "2 as `a.b`", "'k' as key", "3 as row")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage_table(stage(spark, now, str(tmp_path)), name)
+        assert now.columns == docs.columns
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in packed} == {r[0] for r in rows} - ({3} if not rows else set())

@@ -2,7 +2,7 @@
 
 A turn's content is a list of parts (text, image, audio, document). A visitor flattens them in order: texts are
 escaped and written, every other part becomes its kind's placeholder, and its reference, place and expanded token
-count are recorded as an attachment. The template marks turns with control strings::
+count are recorded as an attachment. A part of a null or unknown kind is recorded as an attachment of kind other. The template marks turns with control strings::
 
     <s><|turn|>user\n...<|end|><|turn|>assistant\n...<|end|></s>
 
@@ -19,13 +19,15 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 BEGIN, CLOSE, TURN, END = "<s>", "</s>", "<|turn|>", "<|end|>"
-PLACEHOLDERS = {"image": "<|image|>", "audio": "<|audio|>", "document": "<|document|>"}
+#: Placeholders by kind; parts of a null or unknown kind are kept as ``other``.
+PLACEHOLDERS = {"image": "<|image|>", "audio": "<|audio|>", "document": "<|document|>", "other": "<|other|>"}
 #: Strings that this template or common ones read as control.
 CONTROLS = (BEGIN, CLOSE, TURN, END, *PLACEHOLDERS.values(), "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>")
 #: Tokens a part stands for when it doesn't say.
-PART_TOKENS = {"image": 576, "audio": 250, "document": 1024}
+PART_TOKENS = {"image": 576, "audio": 250, "document": 1024, "other": 0}
 PART = "struct<type:string,text:string,ref:string,tokens:int>"
 
 _REST = "|".join(sorted((re.escape(c[1:]) for c in CONTROLS), key=len, reverse=True))
@@ -64,21 +66,30 @@ class Flattener:
         self.place += len(text)
 
     def visit(self, turn: int, index: int, part: dict) -> None:
-        getattr(self, f"visit_{part['type']}", self.visit_unknown)(turn, index, part)
+        self._VISITORS.get(part["type"], Flattener.visit_other)(self, turn, index, part)
 
     def visit_text(self, turn: int, index: int, part: dict) -> None:
         self.write(part["text"] or "")
 
-    def _attach(self, turn: int, index: int, part: dict) -> None:
-        kind = part["type"]
+    def _attach(self, kind: str, turn: int, index: int, part: dict) -> None:
         tokens = part["tokens"] if part["tokens"] is not None else PART_TOKENS[kind]
         self.attachments.append({"turn": turn, "part": index, "kind": kind, "ref": part["ref"], "place": self.place, "tokens": tokens})
         self.write(PLACEHOLDERS[kind])
 
-    visit_image = visit_audio = visit_document = _attach
+    def visit_image(self, turn: int, index: int, part: dict) -> None:
+        self._attach("image", turn, index, part)
 
-    def visit_unknown(self, turn: int, index: int, part: dict) -> None:
-        raise ValueError(f"no such part: {part['type']!r}")
+    def visit_audio(self, turn: int, index: int, part: dict) -> None:
+        self._attach("audio", turn, index, part)
+
+    def visit_document(self, turn: int, index: int, part: dict) -> None:
+        self._attach("document", turn, index, part)
+
+    def visit_other(self, turn: int, index: int, part: dict) -> None:
+        self._attach("other", turn, index, part)
+
+    #: The kinds there are; a part can't name any other method.
+    _VISITORS = {"text": visit_text, "image": visit_image, "audio": visit_audio, "document": visit_document}
 
     def visit_turn(self, turn: int, role: str, parts: list[dict]) -> None:
         self.write(TURN + _escape_role(role) + "\n")
@@ -91,6 +102,8 @@ class Flattener:
                 run.clear()
 
         for i, part in enumerate(parts):
+            if part is None:
+                continue
             if part["type"] == "text":
                 run.append(part["text"] or "")
             else:
@@ -132,14 +145,21 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     """One row a conversation of ``turns`` (conv_id, turn, role, and ``parts``, an array of PART, or ``text``):
     conv_id, formatted, loss_spans (contents of assistant turns), attachments, n_turns, attached_tokens.
 
-    Turns come in order of turn, then role, then content; repeated rows are turns of their own. Null texts, parts
-    and roles are empty; null conv_ids are one conversation. Other columns are ignored. A conversation is one row, as it is
-    in training; an empty table gives an empty result.
+    A column named parts that isn't an array of PART is ignored; where both are there, a turn whose parts are null says
+    its text. Turns come in order of turn, then role, then content; repeated rows are turns of their own. Null texts,
+    parts and roles are empty, a null within parts is left out. A row with a null conv_id is a conversation by
+    itself, so that no key gathers such rows. Other columns are ignored. A conversation is one row, as it is in
+    training; an empty table gives an empty result.
     """
-    parts = F.col("parts") if "parts" in turns.columns else text_part(F.col("text"))
+    kinds = {f.name: f.dataType for f in turns.schema.fields}
+    typed = isinstance(kinds.get("parts"), ArrayType) and isinstance(kinds["parts"].elementType, StructType) and kinds["parts"].elementType.fieldNames() == ["type", "text", "ref", "tokens"]
+    given = F.col("parts").cast(f"array<{PART}>") if typed else None
+    said = text_part(F.col("text")).cast(f"array<{PART}>") if "text" in kinds else None
+    parts = F.coalesce(*(c for c in (given, said) if c is not None))
     # Sorting by the number first and the contents last; nulls sort first.
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").alias("role"), parts.cast(f"array<{PART}>").alias("parts")).alias("t"))
-    grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").alias("role"), parts.alias("parts")).alias("t"))
+    keyed = rows.withColumn("alone", F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()))
+    grouped = keyed.groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list("t")).alias("turns")).select("conv_id", "turns")
     kinds = "conv_id long, formatted string, loss_spans array<struct<start:long,end:long>>, attachments array<struct<turn:long,part:int,kind:string,ref:string,place:long,tokens:long>>, n_turns long, attached_tokens long"
     return grouped.mapInArrow(_format_batches, kinds)
 

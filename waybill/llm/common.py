@@ -42,11 +42,32 @@ def stage_table(df: DataFrame, label: str) -> DataFrame:
 def staged(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """As :func:`stage_table`, with the path, for tables that are dropped before the query ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/waybill/{label}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def append_table(df: DataFrame, path: str) -> None:
+    """Add the rows of ``df`` to a table of the shared folder."""
+    df.write.mode("append").parquet(path)
+
+
+def own_dir(spark: SparkSession) -> str:
+    """The staged tables of one application lie together."""
+    return f"{shared_dir(spark)}/waybill/{spark.sparkContext.applicationId}"
+
+
+def drop_all(spark: SparkSession) -> None:
+    """Delete every staged table of this application, once the results that read them are written. Operators drop
+    what they alone read; what their lazy results read stays until this is called."""
+    drop_staged(spark, own_dir(spark))
+
+
+def quoted(names: list[str]) -> list[str]:
+    """Column names as ``select`` takes them, dots and backticks included."""
+    return ["`" + n.replace("`", "``") + "`" for n in names]
+
+
 def drop_staged(spark: SparkSession, path: str) -> None:
     """Delete a staged table that no live plan reads any more."""
     jvm = spark.sparkContext._jvm

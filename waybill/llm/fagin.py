@@ -3,7 +3,8 @@
 Distinct vectors are dealt to blocks. A block sorts its vectors once per dimension. For a query, lists are read
 from the end that its component's sign prefers, in step; every vector met is scored in full (random access); the
 bound on the unmet is the score of an imagined vector made of each list's last value read. Reading stops when
-the bound is under the k-th score. Blocks' results are merged, so nothing about the answer is approximate.
+the bound is under the k-th score, be it of this block or of the blocks that the task read before. Tasks' results are
+merged, so nothing about the answer is approximate.
 """
 
 from __future__ import annotations
@@ -16,77 +17,83 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vector_blocks import by_block, classes, merge, paired, valid
+from .vector_blocks import Best, Chunk, classes, search, valid
 
+#: STEP: entries first read of each list; each further step reads half as many as were read before.
 SCALE, STEP = 256, 32
+_LEAST, _MOST = -(1 << 63), (1 << 63) - 1
 
 
-def top_k(x: np.ndarray, first: np.ndarray, order: np.ndarray, q: np.ndarray, k: int, step: int = STEP) -> np.ndarray:
-    """Rows of the ``k`` best inner products with ``q``, best first, ties to smaller ``first``.
+def top_k(x: np.ndarray, first: np.ndarray, order: np.ndarray, q: np.ndarray, k: int, step: int = STEP, floor: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the ``k`` best inner products with ``q``, best first, ties to smaller ``first``, and their scores. With
+    ``floor`` rows that score under it may be missing.
 
     x: integers, vectors by dimensions. order: for each dimension the rows in rising order of their component.
     """
     n = len(x)
     dims = np.flatnonzero(q)
     if not len(dims):
-        return np.argsort(first, kind="stable")[:k]
+        best = np.argsort(first, kind="stable")[:k]
+        return best, np.zeros(len(best), np.int64)
+    if float(np.abs(q).max()) * float(max(abs(int(x.min())), abs(int(x.max())))) * x.shape[1] >= 2.0**62:  # beyond 64 bits: exact, in whole numbers of any size
+        scores = x.astype(object) @ q.astype(object)
+        best = np.array(sorted(range(n), key=lambda i: (-scores[i], first[i]))[:k], np.int64)
+        return best, np.array([max(_LEAST, min(_MOST, int(scores[i]))) for i in best], np.int64)
     up = q[dims] < 0  # from the small end
+    ends = np.where(up[:, None], order[dims], order[dims, ::-1])  # each list as it is read
     met = np.zeros(n, bool)
-    scores = np.full(n, np.iinfo(np.int64).min)
+    at: list[np.ndarray] = []
+    scores: list[np.ndarray] = []
+    best = np.empty(0, np.int64)
     depth = 0
     while depth < n:
-        end = min(n, depth + step)
-        fronts = [order[d, depth:end] if u else order[d, n - end : n - depth] for d, u in zip(dims, up, strict=True)]
+        end = min(n, depth + max(step, depth // 2))
         new = np.zeros(n, bool)
-        new[np.concatenate(fronts)] = True
+        new[ends[:, depth:end].ravel()] = True
         new &= ~met
-        at = np.flatnonzero(new)
-        scores[at] = x[at] @ q
+        rows = np.flatnonzero(new)
+        at.append(rows)
+        scores.append(x[rows] @ q)
         met |= new
         depth = end
-        count = int(met.sum())
-        if count == n:
+        best = np.concatenate([best, scores[-1]])
+        if len(best) > k:
+            best = np.partition(best, len(best) - k)[-k:]
+        bound = int((x[ends[:, end - 1], dims] * q[dims]).sum())
+        if (len(best) >= k and bound < best.min()) or (floor is not None and bound < floor):
             break
-        if count >= k:
-            last = np.where(up, order[dims, end - 1], order[dims, n - end])
-            bound = int((x[last, dims] * q[dims]).sum())
-            if bound < np.partition(scores[met], count - k)[count - k]:
-                break
-    at = np.flatnonzero(met)
-    return at[np.lexsort((first[at], -scores[at]))[:k]]
+    rows, values = np.concatenate(at), np.concatenate(scores)
+    if len(rows) > k:
+        stay = values >= np.partition(values, len(values) - k)[len(values) - k]
+        rows, values = rows[stay], values[stay]
+    best = np.lexsort((first[rows], -values))[:k]
+    return rows[best], values[best]
 
 
-def _pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def pack(t: pa.Table) -> bytes:
-        x = np.array(t.column("vec").to_pylist(), np.int64)
-        return pickle.dumps((x, np.ascontiguousarray(np.argsort(x, axis=0, kind="stable").T.astype(np.int32)), t.column("ids").to_pylist()))
+def _pack(x: np.ndarray, ids: list[list[int]]) -> bytes:
+    return pickle.dumps((x, np.ascontiguousarray(np.argsort(x, axis=0, kind="stable").T.astype(np.int32)), ids))
 
-    for block, blob in by_block(batches, pack):
-        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([blob], pa.binary())], names=["d", "rows"])
 
+def _one_chunk(k: int):
+    def found(blocks: DataFrame, chunk: Chunk) -> DataFrame:
+        asked = blocks.sparkSession.sparkContext.broadcast(chunk)
 
-def _pack_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block, blob in by_block(batches, lambda t: pickle.dumps((t.column("vec_id").to_pylist(), t.column("vec").to_pylist()))):
-        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([blob], pa.binary())], names=["q", "asked"])
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = Best(k)
+            for batch in batches:
+                for blob in batch.column(0):
+                    x, order, ids = pickle.loads(blob.as_py())
+                    first = np.array([i[0] for i in ids])
+                    names, queries = asked.value.get(x.shape[1], ((), ()))
+                    for query, q in zip(map(int, names), queries, strict=True):
+                        # One class more than results: the query's own may hold the query alone.
+                        rows, scores = top_k(x, first, order, q, k + 1, floor=best.floor(query))
+                        best.add(query, scores.tolist(), [ids[r] for r in rows.tolist()])
+            yield from best.rows(pa.int64())
 
+        return blocks.mapInArrow(run, "query_id long, vec_id long, score long")
 
-def _search(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, asked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x, order, ids = pickle.loads(rows)
-                first = np.array([i[0] for i in ids])
-                out: list[tuple[int, int, int]] = []
-                for query, q in zip(*pickle.loads(asked), strict=True):
-                    q = np.array(q, np.int64)
-                    # One class more than results: the query's own may hold the query alone.
-                    for c in top_k(x, first, order, q, k + 1).tolist():
-                        score = int(x[c] @ q)
-                        out += [(query, i, score) for i in ids[c] if i != query]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
-
-    return run
+    return found
 
 
 def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = SCALE) -> DataFrame:
@@ -94,16 +101,9 @@ def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = SC
     ``every``, the ``k`` other rows of the largest integer inner product of floor(scale * component).
 
     Null, empty and non-finite vectors and null ids take no part. A vector is compared with those of its own
-    length, a search a length. With fewer candidates all are
-    returned. Repeated ids are one row if their vectors are equal; a query's own id is never its result. Ties go to the
-    smaller vec_id. Other columns are ignored.
+    length. With fewer candidates all are returned. Repeated ids are one row if their vectors are equal; a query's own
+    id is never its result. Ties go to the smaller vec_id. Other columns are ignored. An empty table gives an empty
+    result. A scaled component or a score beyond 64 bits is taken as the end of their range.
     """
     rows = vectors.where(valid(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("vec")).distinct()
-    found = None
-    for n in sorted(r.n for r in rows.select(F.size("vec").alias("n")).distinct().collect()):
-        own = rows.where(F.size("vec") == n)
-        got = paired(classes(own, k + 1), own.where(F.col("vec_id") % every == 0), _pack_rows, _pack_queries).mapInArrow(_search(k), "query_id long, vec_id long, score long")
-        found = got if found is None else found.union(got)
-    if found is None:
-        found = rows.sparkSession.createDataFrame([], "query_id long, vec_id long, score long")
-    return merge(found.distinct(), k)
+    return search(classes(rows, k + 1), rows.where(F.col("vec_id") % every == 0), k, _pack, _one_chunk(k), "long")

@@ -1,14 +1,22 @@
 """Licence scans: a trained paragraph classifier, confirmed by templates.
 
 Sparse word n-grams (one to three words) go into a multinomial logistic regression over licence families and an
-unknown class. It is trained on the templates below: whole, cut, mixed into other words and with fields filled in;
-negatives are shuffled template words, near misses and prose made of the templates' common words. Temperature scaling on
-held-out variants calibrates the probabilities; under ``CONFIDENT`` a paragraph is unknown. A prediction then
-stands only if the paragraph agrees with a template of its family: by the share of the template's n-grams that it
+unknown class. It is trained on the templates below: whole, cut, mutated, mixed into other words and with fields
+filled in; negatives are shuffled template words, near misses and prose made of the templates' common words. Temperature
+scaling on held-out variants calibrates the probabilities; under ``CONFIDENT`` a passage is unknown. A prediction then
+stands only if the passage agrees with a template of its family: by the share of the template's n-grams that it
 holds, or of its own that the template holds.
 
-Paragraphs are lines. One without any n-gram of the vocabulary has the bias alone and is unknown, so most of a
-corpus costs one set lookup a word. Every whole text is read, in one scan without a shuffle.
+Paragraphs are runs of lines between blank ones, once comment markers are taken off, so that a notice counts once
+however it is wrapped. Notices also stand among other lines without a blank one. So a paragraph is read in units
+(sentences and lines); units that share two words in a row with a template are related, runs of related ones
+(``GAP`` others between them at most) are passages, and these are what is classified: a passage most of which is in the
+templates of one family is that family's, unless its units are whole notices of several; else, if units alone tell
+families, each of them and what follows it; else the passage as it is.
+
+A passage of three words or more without two template words in a row can't agree: its n-grams would be single words, at
+most half of its own n-grams and of any template's. That is why units that aren't related need no classifier.
+Every whole text is read, in one scan without a shuffle.
 """
 
 from __future__ import annotations
@@ -25,6 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN, CONFIDENT, AGREES, MAX_N = "unknown", 0.6, 0.6, 3
+#: Units without template words that a passage may hold between related ones.
+GAP = 1
+#: Share of a template that a unit holds if it is a notice by itself.
+COMPLETE = 0.9
 
 #: Licence families and notices that name them (fixed wordings of public licences).
 TEMPLATES: dict[str, list[str]] = {
@@ -81,6 +93,9 @@ NEAR_MISSES = [
 ]
 
 _WORD = re.compile(r"[a-z0-9][a-z0-9.+]*[a-z0-9+]|[a-z0-9]").findall
+#: Comment markers of the usual languages at either end of a line.
+_MARKERS = re.compile(r"^[\s]*(?:(?:/\*+|\*+/|\*|//+|#+!?|--+|;+|%+|<!--+|\"{3}|'{3}|REM\b|dnl\b|\.\\\")[\s]*)+|[\s]*(?:\*+/|--+>|\"{3}|'{3}|[\s]\*+)[\s]*$").sub
+_UNIT = re.compile(r"(?<=[.!?;])\s+").split
 
 
 def words_of(paragraph: str) -> list[str]:
@@ -103,6 +118,8 @@ class Model:
 
     def __post_init__(self) -> None:
         self.single = {w for g in self.vocabulary for w in g.split()}
+        self.pairs = {g for g in self.vocabulary if g.count(" ") == 1}
+        self.known = {f: frozenset().union(*t) for f, t in self.templates.items()}
 
     def features(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Indices and values: tf (1 + log) times idf, length 1 over all n-grams, unseen ones at the largest idf."""
@@ -124,10 +141,26 @@ class Model:
         own = frozenset(grams(words))
         return max(max(len(own & t) / len(t), len(own & t) / max(1, len(own))) for t in self.templates[family])
 
+    def inside(self, words: list[str], family: str) -> float:
+        """The share of a passage's n-grams that the family's templates hold."""
+        own = frozenset(grams(words))
+        return len(own & self.known[family]) / max(1, len(own))
+
+    def holds(self, words: list[str], family: str) -> float:
+        """The largest share of a template of the family that a passage holds."""
+        own = frozenset(grams(words))
+        return max(len(own & t) / len(t) for t in self.templates[family])
+
+    def related(self, words: list[str]) -> bool:
+        """Two words in a row as in a template."""
+        return not self.single.isdisjoint(words) and any(f"{a} {b}" in self.pairs for a, b in zip(words, words[1:], strict=False))
+
     def classify(self, paragraph: str) -> tuple[str, float, float]:
         """Family or unknown, its calibrated probability, agreement with the family's templates."""
-        words = words_of(paragraph)
-        if len(words) < 2 or not self.single.intersection(words):
+        return self.classify_words(words_of(paragraph))
+
+    def classify_words(self, words: list[str]) -> tuple[str, float, float]:
+        if len(words) < 2:
             return UNKNOWN, 1.0, 0.0
         p = self.probabilities(words)
         best = int(p.argmax())
@@ -137,6 +170,94 @@ class Model:
         return (self.families[best] if agrees >= AGREES else UNKNOWN), float(p[best]), agrees
 
 
+@dataclass
+class Unit:
+    """Words of a sentence or line, and the lines that it stands on."""
+
+    words: list[str]
+    first: int
+    last: int
+
+
+def paragraphs(text: str) -> Iterator[list[tuple[int, str]]]:
+    """Runs of lines (number, line without comment markers) between blank ones; a line of markers alone is blank."""
+    held: list[tuple[int, str]] = []
+    for i, line in enumerate(text.split("\n")):
+        bare = _MARKERS("", line).strip()
+        if bare:
+            held.append((i, bare))
+        elif held:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def units_of(paragraph: list[tuple[int, str]]) -> list[Unit]:
+    found = [Unit(words_of(x), i, i) for i, line in paragraph for x in _UNIT(line)]
+    return [u for u in found if u.words]
+
+
+def passages(units: list[Unit], model: Model, gap: int = GAP) -> Iterator[list[Unit]]:
+    """Runs of units from a related one to a related one. Two words in a row may be on two units: the words of a
+    unit are seen with the last of the unit before and the first of the one after."""
+    run: list[Unit] = []
+    end = 0  # units of the run up to its last related one
+    for i, u in enumerate(units):
+        around = units[i - 1].words[-1:] * (i > 0) + u.words + (units[i + 1].words[:1] if i + 1 < len(units) else [])
+        if len(u.words) <= 2 or model.related(around):
+            run.append(u)
+            end = len(run) if model.related(around) or not end else end
+        elif run:
+            run.append(u)
+            if len(run) - end > gap:
+                yield run[:end]
+                run, end = [], 0
+    if run:
+        yield run[:end]
+
+
+def notices(paragraph: list[tuple[int, str]], model: Model) -> list[dict]:
+    """The confirmed licences of a paragraph: first and last line, family, probability, agreement."""
+    found = []
+
+    def tell(some: list[Unit], told: tuple[str, float, float]) -> None:
+        if told[0] != UNKNOWN:
+            found.append({"first_line": some[0].first, "last_line": some[-1].last, "family": told[0], "probability": told[1], "agreement": told[2]})
+
+    for run in passages(units_of(paragraph), model):
+        words = [w for u in run for w in u.words]
+        whole = model.classify_words(words)
+        if len(run) == 1:
+            tell(run, whole)
+            continue
+        alone = [model.classify_words(u.words) for u in run]
+        complete = {t[0] for u, t in zip(run, alone, strict=True) if t[0] != UNKNOWN and model.holds(u.words, t[0]) >= COMPLETE}
+        if len(complete) < 2 and whole[0] != UNKNOWN and model.inside(words, whole[0]) >= AGREES:
+            tell(run, whole)
+            continue
+        heads = [i for i, t in enumerate(alone) if t[0] != UNKNOWN]
+        if not heads:
+            tell(run, whole)
+            continue
+        cuts = [i for n, i in enumerate(heads) if n == 0 or alone[i][0] != alone[heads[n - 1]][0]]
+        for s, e in zip(cuts, [*cuts[1:], len(run)], strict=True):
+            more = model.classify_words([w for u in run[s:e] for w in u.words])
+            last = max(i for i in heads if i < e)
+            # What follows the unit belongs to it as far as the family stays the same.
+            tell(run[s:e] if more[0] == alone[s][0] else run[s : last + 1], more if more[0] == alone[s][0] else alone[s])
+    return found
+
+
+def _mutated(words: list[str], rng: np.random.Generator) -> list[str]:
+    """One word in fifteen or so changed, lost or doubled."""
+    out = []
+    for w in words:
+        kind = rng.random() * 15
+        out += ["".join(rng.choice(list("aeinorstlhd"), rng.integers(2, 9)))] if kind < 0.5 else [] if kind < 0.8 else [w, w] if kind < 1 else [w]
+    return out
+
+
 def variants(seed: int, each: int) -> tuple[list[list[str]], list[int]]:
     """Training paragraphs as words, and their families (the last: unknown)."""
     rng = np.random.default_rng(seed)
@@ -163,7 +284,7 @@ def variants(seed: int, each: int) -> tuple[list[list[str]], list[int]]:
                     new = new[at : at + keep]
                 elif rng.random() < 0.3:  # a short one with other words around it
                     new = filler(rng.integers(0, 4)) + new + filler(rng.integers(0, 4))
-                add(new, f)
+                add(_mutated(new, rng) if len(new) > 12 and rng.random() < 0.4 else new, f)
             for _ in range(each):  # its words without its order
                 add(list(rng.permutation(own))[: rng.integers(1, len(own) + 1)], len(families))
     for _ in range(each * len(families)):
@@ -177,7 +298,7 @@ def variants(seed: int, each: int) -> tuple[list[list[str]], list[int]]:
 
 
 @lru_cache(maxsize=1)
-def fit(seed: int = 11, each: int = 12, ridge: float = 3e-4, steps: int = 250) -> Model:
+def fit(seed: int = 11, each: int = 20, ridge: float = 3e-4, steps: int = 250) -> Model:
     """Train on the driver: a few thousand short paragraphs made of the templates, whatever the corpus."""
     rows, labels = variants(seed, each)
     df = Counter(g for r in rows for g in set(grams(r)))
@@ -219,48 +340,47 @@ def fit(seed: int = 11, each: int = 12, ridge: float = 3e-4, steps: int = 250) -
     return model
 
 
-_PARAGRAPH = pa.struct([("line", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("agreement", pa.float64())])
+_NOTICE = pa.struct([("first_line", pa.int32()), ("last_line", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("agreement", pa.float64())])
+#: Paragraphs whose result a worker keeps, and letters of those it keeps.
+_KEPT, _SHORT = 20_000, 400
 
 
 def _scanner(model: Model):
-    # Two words of a template side by side, as few texts have any: the cheap test before the classifier.
-    lines_cache: dict[str, tuple[str, float, float]] = {}
-    pairs = {g for g in model.vocabulary if g.count(" ") == 1}
+    kept: dict[tuple[str, ...], list[dict]] = {}
+
+    def told(paragraph: list[tuple[int, str]]) -> list[dict]:
+        key = tuple(x for _, x in paragraph)
+        if sum(map(len, key)) > _SHORT:
+            return notices(paragraph, model)
+        known = kept.get(key)
+        if known is None:
+            if len(kept) > _KEPT:
+                kept.clear()
+            known = kept[key] = notices(list(enumerate(key)), model)
+        begin = paragraph[0][0]
+        return [n | {"first_line": n["first_line"] + begin, "last_line": n["last_line"] + begin} for n in known]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, counts, hits = batch.column(0).to_pylist(), [], []
-            for text in batch.column(1).to_pylist():
-                lines = (text or "").split("\n")
-                found = []
+            for text in batch.column(1):
+                found: list[dict] = []
                 count = 0
-                for i, line in enumerate(lines):
-                    if not line or line.isspace():
-                        continue
+                for paragraph in paragraphs(text.as_py() or ""):
                     count += 1
-                    words = words_of(line)
-                    if len(model.single.intersection(words)) < 2:
-                        continue
-                    told = lines_cache.get(line)
-                    if told is None:
-                        near = any(f"{a} {b}" in pairs for a, b in zip(words, words[1:], strict=False))
-                        told = model.classify(line) if near else (UNKNOWN, 1.0, 0.0)
-                        if len(lines_cache) > 20_000:
-                            lines_cache.clear()
-                        lines_cache[line] = told
-                    if told[0] != UNKNOWN:
-                        found.append({"line": i, "family": told[0], "probability": told[1], "agreement": told[2]})
+                    found += told(paragraph)
                 counts.append(count)
                 hits.append(found)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(hits, pa.list_(_PARAGRAPH))], names=["doc_id", "n_paragraphs", "licences"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(hits, pa.list_(_NOTICE))], names=["doc_id", "n_paragraphs", "licences"])
 
     return run
 
 
 def scan_licences(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """One row a row of ``docs`` (doc_id, text; others are ignored): doc_id, n_paragraphs (lines that aren't
-    blank), licences (line, family, calibrated probability, template agreement of each confirmed paragraph).
+    """One row a row of ``docs`` (doc_id, text; others are ignored): doc_id, n_paragraphs, licences (first_line,
+    last_line, family, calibrated probability, template agreement of each confirmed notice, in order).
 
-    Null, empty and blank texts have no paragraphs; repeated rows each get their row; lines may be of any length.
+    Null, empty and blank texts have no paragraphs; repeated rows each get their row; lines and paragraphs may be of any
+    length. An empty table gives an empty result.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scanner(model or fit()), "doc_id long, n_paragraphs long, licences array<struct<line:int,family:string,probability:double,agreement:double>>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scanner(model or fit()), "doc_id long, n_paragraphs long, licences array<struct<first_line:int,last_line:int,family:string,probability:double,agreement:double>>")

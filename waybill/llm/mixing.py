@@ -7,8 +7,10 @@ limit. A source's repeats are then realised as blocks: whole passes over its doc
 cut, in the order of a keyed permutation, where its token budget ends.
 
 The cut is one threshold a source. It is found from sums over permutation buckets (aggregated before the shuffle),
-a prefix sum over those sums, and a running sum within the one bucket in which the budget ends, so no task sees
-more of a source than a bucket. Documents themselves are never shuffled: the final pass is a scan and a filter.
+prefix sums over groups of buckets, then over the buckets of the one group in which the budget ends, and a running sum
+within its one bucket, so no task sees more of a source than a bucket or the square root of their number.
+Documents themselves are never shuffled: the final pass is a scan and a filter. It counts words anew, as keeping the
+counts beside the documents would mean writing the corpus once more.
 """
 
 from __future__ import annotations
@@ -19,11 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stage_table
+from .common import quoted, stage_table
 
 #: Weights tables of up to so many sources are broadcast (under 10 MB); larger ones are joined by salted keys.
 BROADCAST_SOURCES, SALTS = 50_000, 64
 SECTIONS, ROUNDS, BUCKET_ROWS = 16, 9, 4096
+ADDED = ("mix_block", "mix_place", "mix_tokens")
 _KEY_BITS = 60
 _BLANKS = " \t\n\x0b\x0c\r"
 
@@ -104,9 +107,19 @@ def plan(docs: DataFrame, target_entropy: float | None = None, max_repeats: floa
     bits = max(0, math.ceil(math.log2(max(1, (n_docs or 0) / BUCKET_ROWS))))
     cut = _join(rows, weighed.where("part > 0").select("key", "whole", "part"), n_sources, "inner", "tokens")
     cut = cut.withColumn("place", _order_key(seed, F.col("key"), F.col("whole"), F.col("doc_id"))).withColumn("bucket", F.shiftright("place", _KEY_BITS - bits))
-    sums = cut.groupBy("key", "bucket").agg(F.sum("tokens").alias("sum"), F.first("part").alias("part"))
-    prefix = sums.withColumn("upto", F.sum("sum").over(Window.partitionBy("key").orderBy("bucket")))
-    ends = prefix.where("upto > part and upto - sum <= part").select("key", "bucket", (F.col("upto") - F.col("sum")).alias("before"))
+    sums = stage_table(cut.groupBy("key", "bucket").agg(F.sum("tokens").alias("sum"), F.first("part").alias("part")), "buckets")
+    group = F.shiftright("bucket", bits // 2)
+    groups = sums.groupBy("key", group.alias("group")).agg(F.sum("sum").alias("sum"), F.first("part").alias("part"))
+
+    def ending_in(rows: DataFrame, name: str, before: Column | None = None) -> DataFrame:
+        """The row of each source in which its budget ends, and the tokens before it."""
+        upto = F.sum("sum").over(Window.partitionBy("key").orderBy(name)) + (before if before is not None else F.lit(0))
+        found = rows.withColumn("upto", upto).where("upto > part and upto - sum <= part")
+        return found.select("key", name, (F.col("upto") - F.col("sum")).alias("before"))
+
+    outer = ending_in(groups, "group")
+    inner = sums.withColumn("group", group).join(outer, ["key", "group"])
+    ends = ending_in(inner, "bucket", F.col("before"))
     ending = cut.join(ends, ["key", "bucket"])
     running = ending.withColumn("upto", F.col("before") + F.sum("tokens").over(Window.partitionBy("key", "bucket").orderBy("place", F.coalesce("doc_id", F.lit((1 << 63) - 1)))))
     inside = running.where("upto <= part").groupBy("key").agg(F.max(F.struct("place", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"))).alias("top"))
@@ -125,7 +138,8 @@ def _join(rows: DataFrame, small: DataFrame, n_sources: int, how: str, spread_by
 
 def mix(docs: DataFrame, target_entropy: float | None = None, max_repeats: float | None = 2.0, budget_tokens: int | None = None, seed: int = 7) -> DataFrame:
     """The columns of ``docs`` (doc_id, text, source and any others), a row a realised copy, and mix_block (the pass,
-    from 0), mix_place (its place in the pass's permutation), mix_tokens.
+    from 0), mix_place (its place in the pass's permutation), mix_tokens. Columns of these three names in ``docs`` (a
+    mixture mixed again) are replaced.
 
     A last pass holds the longest run of its permutation whose tokens don't exceed what is left of the source's
     budget. Null is a source of its own. Null, empty and blank texts have no tokens and come along where their
@@ -133,8 +147,8 @@ def mix(docs: DataFrame, target_entropy: float | None = None, max_repeats: float
     in or out together. Sources of equal share get equal weights. An empty table gives an empty result.
     """
     sources, n = plan(docs, target_entropy, max_repeats, budget_tokens, seed)
-    names = docs.columns
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), _source_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), count_words(F.col("text")).alias("mix_tokens"))
+    names = [c for c in docs.columns if c not in ADDED]
+    rows = docs.select(F.struct(*(F.col(q).alias(c) for c, q in zip(names, quoted(names), strict=True))).alias("row"), _source_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), count_words(F.col("text")).alias("mix_tokens"))
     joined = _join(rows, sources.select("key", "whole", "cut_key", "cut_doc"), n, "inner", "mix_tokens")
     last = _order_key(seed, F.col("key"), F.col("whole"), F.col("doc_id"))
     doc = F.coalesce("doc_id", F.lit((1 << 63) - 1))

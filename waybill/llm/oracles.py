@@ -12,12 +12,12 @@ _REST = "|".join(sorted((re.escape(c[1:]).replace("/", r"\/") for c in CONTROLS)
 SQL: dict[str, str] = {
     "op2_chat_format": rf"""
     WITH c AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -7, turn, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(turn, role)),
-    t AS (SELECT conv_id, turn, coalesce(role, '') role, coalesce(text, '') text FROM c)
+    t AS (SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END alone, turn, coalesce(role, '') role, coalesce(text, '') text FROM c)
     SELECT conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) turns_sha256,
         coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT loss_chars,
         sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '')) loss_sha256,
         (7 + sum(16 + length(role) + length(regexp_replace(text, '([<\[])(\\*(?:{_REST}))', '\1\\\2', 'g'))))::BIGINT formatted_chars
-    FROM t GROUP BY conv_id""",
+    FROM t GROUP BY conv_id, alone""",
     "op8_window_dedup": f"""
     WITH n AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) w FROM documents),
     win AS (SELECT doc_id, i, w[i:i + 12] k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) i FROM n)),

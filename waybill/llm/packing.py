@@ -3,7 +3,9 @@
 Each partition packs its pieces best-fit decreasing and bounds its bin count from below by dual feasible
 functions. A partition that meets its bound is done. One with a gap keeps its tight bins and releases its loosest
 ones; the released pieces of all partitions are dealt anew over as few partitions as hold them, until one
-partition remains. A partition holds ``PART_PIECES`` pieces or so, whatever the table's size.
+partition remains, which keeps its bins. A partition releases at most half of its pieces, so each round has at most
+half the pieces of the one before, and rounds are as many as the logarithm of the table's size. A partition holds
+``PART_PIECES`` pieces or so, whatever that size is.
 """
 
 from __future__ import annotations
@@ -135,7 +137,11 @@ def _cutter(path: str, capacity: int, end_id: int):
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
     """Bins that the lengths need at least: the best of three families of dual feasible functions, which are the
     sum, u_k (over capacity - k counts whole, under k nothing) and the rounding functions of Fekete and Schepers."""
-    count = np.bincount(lengths, minlength=capacity + 1)[: capacity + 1].astype(np.int64)
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1)[: capacity + 1].astype(np.int64), capacity)
+
+
+def bound_of_counts(count: np.ndarray, capacity: int = CAPACITY) -> int:
+    """:func:`lower_bound` of ``count[n]`` pieces of each length n."""
     size = np.arange(capacity + 1)
     best = -(-int((count * size).sum()) // capacity)
     many, total = np.cumsum(count), np.cumsum(count * size)
@@ -176,8 +182,17 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[
     return bins, offsets, np.array(room, np.int64)
 
 
+def loose_bins(bins: np.ndarray, room: np.ndarray, wanted: int) -> np.ndarray:
+    """The ``wanted`` loosest bins, fewer where they would hold over half of all pieces; full bins never."""
+    order = np.argsort(-room, kind="stable")[:wanted]
+    order = order[room[order] > 0]
+    held = np.cumsum(np.bincount(bins, minlength=len(room))[order])
+    return order[: np.searchsorted(held, len(bins) // 2, side="right")]
+
+
 def _packer(round_no: int, capacity: int, last: bool):
-    """Rows sorted by falling length -> the same rows with sequence_id and offset; released ones without."""
+    """Rows sorted by falling length -> the same rows with their place and the partition's certificate; released
+    ones without."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -186,14 +201,15 @@ def _packer(round_no: int, capacity: int, last: bool):
         table = pa.Table.from_batches(held)
         lengths = table.column("length").to_numpy()
         bins, offsets, room = best_fit_decreasing(lengths, capacity)
-        gap = len(room) - lower_bound(lengths, capacity)
-        sequence = (np.int64(round_no) << 56) + (np.int64(TaskContext.get().partitionId()) << 32) + bins
+        bound = lower_bound(lengths, capacity)
+        gap = len(room) - bound
+        part = (np.int64(round_no) << 56) + (np.int64(TaskContext.get().partitionId()) << 32)
         kept = np.ones(len(bins), bool)
         if gap and not last:
-            loose = np.argsort(-room, kind="stable")[: max(8, 6 * gap)]
-            kept = ~np.isin(bins, loose[room[loose] > 0])
-        for name, values in (("sequence_id", sequence), ("offset", offsets)):
-            table = table.append_column(name, pa.array(values, mask=~kept))
+            kept = ~np.isin(bins, loose_bins(bins, room, max(8, 6 * gap)))
+        n = len(bins)
+        for name, values in (("sequence_id", part + bins), ("offset", offsets), ("part", np.full(n, part)), ("part_bins", np.full(n, len(room))), ("part_bound", np.full(n, bound))):
+            table = table.append_column(name, pa.array(values, pa.int64(), mask=~kept))
         yield from table.to_batches(max_chunksize=20_000)
 
     return run
@@ -208,9 +224,12 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PIECES) -> DataFrame:
-    """``pieces`` (uid, doc_id, piece, start, length, ids_crc32) with sequence_id and offset."""
-    columns = ("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
-    full = pieces.where(F.col("length") >= capacity).withColumn("sequence_id", F.lit(1 << 62) + F.col("uid")).withColumn("offset", F.lit(0).cast("long"))
+    """``pieces`` (uid, doc_id, piece, start, length, ids_crc32) with sequence_id, offset, and the certificate of the
+    partition that packed them: its number, the bins it used and the bins that its pieces need at least. Pieces
+    that fill a sequence alone have no partition."""
+    columns = ("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "part", "part_bins", "part_bound")
+    none = F.lit(None).cast("long")
+    full = pieces.where(F.col("length") >= capacity).withColumns({"sequence_id": F.lit(1 << 62) + F.col("uid"), "offset": F.lit(0).cast("long"), "part": none, "part_bins": none, "part_bound": none})
     done = [full.select(*columns)]
     rest = pieces.where(F.col("length") < capacity)
     round_no = 0
@@ -218,7 +237,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, part_pieces: int =
         parts = max(1, math.ceil(rest.count() / part_pieces))
         last = parts == 1
         dealt = (rest.repartition(1) if last else rest.repartition(parts, "uid")).sortWithinPartitions(F.desc("length"), "uid")
-        packed, _ = staged(dealt.mapInArrow(_packer(round_no, capacity, last), _PIECE + ", sequence_id long, offset long"), "packed")
+        packed, _ = staged(dealt.mapInArrow(_packer(round_no, capacity, last), _PIECE + ", sequence_id long, offset long, part long, part_bins long, part_bound long"), "packed")
         done.append(packed.where("sequence_id is not null").select(*columns))
         if last:
             break
@@ -231,8 +250,20 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, part_pieces: int =
     return out
 
 
+def certificate(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row: pieces, tokens, sequences used, and the least number that any packing of all the pieces needs. The
+    lengths are counted in Spark; at most ``capacity`` counts come to the driver."""
+    counts = packed.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()
+    every = np.zeros(capacity + 1, np.int64)
+    for r in counts:
+        every[r.length] = r.n
+    told = packed.agg(F.count(F.lit(1)).alias("pieces"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens"), F.count_distinct("sequence_id").alias("sequences"))
+    return told.withColumn("bound", F.lit(bound_of_counts(every, capacity)).cast("long"))
+
+
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, part_pieces: int = PART_PIECES) -> DataFrame:
-    """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+    """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and the certificate columns of
+    :func:`pack_pieces`.
 
     Needs ``doc_id`` and ``text``; other columns are ignored. Null and empty texts are the end id alone. Repeated
     rows and ids are packed once each row. Special strings in a text are read as the tokenizer's file reads them.

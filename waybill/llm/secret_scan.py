@@ -18,10 +18,12 @@ parts of texts that hold weak candidates are.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage_table
+from .common import quoted, stage_table
 
 REACH = 400
 
@@ -38,23 +40,49 @@ KINDS = [k for k, *_ in (*_BASE, *_WEAK)]
 _SPAN = "array<struct<start:int,ord:int,end:int>>"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _scan(items: Column, total: Callable[[Column], Column], carry: Callable[[Column, Column], Column], begin: Column, step: Callable[[Column, Column], Column], kind: str) -> Column:
+    """A running computation along an array, in about n ** 1.5 moves instead of n ** 2: the array is cut into chunks
+    of the square root of its length, a chunk's ``total`` is carried on over the chunks before it, and ``step``
+    appends within a chunk to what begins with the value carried there (a struct of ``at`` and ``out``)."""
+
+    def of(items: Column) -> Column:
+        width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(items))).cast("int"))
+        starts = F.sequence(F.lit(0), F.size(items) - 1, width)
+        return _let(F.transform(starts, lambda at: F.slice(items, at + 1, width)), chunks)
+
+    def chunks(parts: Column) -> Column:
+        totals = F.transform(parts, total)
+        bases = F.aggregate(totals, F.array(begin), lambda acc, t: F.concat(acc, F.array(carry(F.element_at(acc, -1), t))))
+        return _let(bases, lambda base: F.flatten(F.transform(parts, lambda part, c: F.aggregate(part, F.struct(F.get(base, c).alias("at"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"]))))
+
+    return F.when(F.size(items) > 0, _let(items, of)).otherwise(F.array().cast(kind))
+
+
 def _spans(text: Column, kind: str, pattern: str, least: int, contains: str | None) -> Column:
     """Spans of the leftmost non-overlapping matches, code points, end exclusive: the lengths of matches and of
     the pieces between them, summed up. Failing matches count as read, then drop."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if least else found
-    pairs = F.arrays_zip(found.alias("m"), F.slice(pieces, 1, F.size(found)).alias("p"), value.alias("v"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
+    ord_ = F.lit(KINDS.index(kind))
 
     def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["p"])
-        end = begin + F.length(x["m"])
-        span = F.array(F.struct(begin.alias("start"), F.lit(KINDS.index(kind)).alias("ord"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(F.length(x["v"]) >= least, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+        begin = acc["at"] + x["gap"]
+        end = begin + x["size"]
+        span = F.array(F.struct(begin.alias("start"), ord_.alias("ord"), end.alias("end")))
+        return F.struct(end.alias("at"), F.when(x["value"] >= least, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+
+    def moves(found: Column) -> Column:
+        pieces = F.slice(F.split(text, pattern, -1), 1, F.size(found))
+        value = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if least else found
+        zipped = F.arrays_zip(F.transform(found, F.length).alias("size"), F.transform(pieces, F.length).alias("gap"), F.transform(value, F.length).alias("value"))
+        along = lambda part: F.aggregate(part, F.lit(0), lambda n, x: n + x["gap"] + x["size"])
+        return _scan(zipped, along, lambda a, b: a + b, F.lit(0), step, _SPAN)
 
     test = F.contains(text, F.lit(contains)) if contains else text.rlike(pattern)
-    return F.when(test, F.aggregate(pairs, start, step, lambda acc: acc["spans"])).otherwise(F.array().cast(_SPAN))
+    return F.when(test, _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), moves)).otherwise(F.array().cast(_SPAN))
 
 
 def _parts(docs: DataFrame, *keep: Column) -> DataFrame:
@@ -105,26 +133,40 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, reach: int = REACH, mask: str = "[REDACTED]") -> DataFrame:
-    """``docs`` (text, n_chars if there, and any others) with each run of overlapping spans replaced by ``mask``.
-    Rows without a span are unchanged, null texts included."""
+    """``docs`` (text, n_chars if there, and any others) with each run of overlapping or touching spans replaced by
+    ``mask``. Rows without a span are unchanged, null texts included. An empty table gives an empty result with the
+    columns of ``docs``, types included."""
     names = docs.columns
-    parts = stage_table(_parts(docs, F.struct(*(F.col(f"`{c}`") for c in names)).alias("doc")), "redact")
+    parts = stage_table(_parts(docs, F.struct(*(F.col(q).alias(c) for c, q in zip(names, quoted(names), strict=True))).alias("doc")), "redact")
     linked = _linked(parts.drop("doc"), reach)
     base = F.concat("assign", "access", "hex")
     alone = parts.where(F.size("weak") == 0).select("doc", F.array_sort(base).alias("found"))
     beside = parts.where(F.size("weak") > 0).join(linked, "row", "left").select("doc", F.array_sort(F.concat(base, F.coalesce("linked", F.array().cast(_SPAN)))).alias("found"))
-    runs = "array<struct<s:int,e:int>>"
-
-    def merge(acc: Column, x: Column) -> Column:
-        top = F.get(acc, F.size(acc) - 1)
-        wider = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(top["s"].alias("s"), F.greatest(top["e"], x["end"]).alias("e"))))
-        return F.when((F.size(acc) > 0) & (F.coalesce(top["e"], F.lit(-1)) >= x["start"]), wider).otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("s"), x["end"].alias("e")))))
-
-    told = alone.union(beside).withColumn("runs", F.aggregate("found", F.array().cast(runs), merge))
+    # Each span with the furthest end of those before it: a run begins where that lies before the span.
+    far = lambda part: F.array_max(F.transform(part, lambda x: x["end"]))
+    seen = lambda acc, x: F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], F.array(F.struct(x["start"].alias("s"), acc["at"].alias("far")))).alias("out"))
+    heads = F.filter(_scan(F.col("found"), far, lambda a, b: F.greatest(a, b), F.lit(-1), seen, "array<struct<s:int,far:int>>"), lambda x: x["s"] > x["far"])
+    told = alone.union(beside).select("doc", "found", heads.alias("heads"))
+    last = F.array_max(F.transform("found", lambda x: x["end"]))
+    # The text left before each run, from the end of the run before: (from, length). The text is cut in two steps, so
+    # that finding a place never walks the whole text for each run.
+    gaps = F.transform("heads", lambda h, i: F.struct(F.when(i == 0, F.lit(0)).otherwise(h["far"]).alias("b"), h["s"].alias("e")))
+    told = told.select("doc", gaps.alias("gaps"), last.alias("last"))
     text = F.col("doc")["text"]
-    before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("runs", i - 1)["e"])
-    kept = F.array_join(F.transform("runs", lambda r, i: F.concat(F.substring(text, before(i) + 1, r["s"] - before(i)), F.lit(mask))), "")
-    clean = F.when(F.size("runs") == 0, text).otherwise(F.concat(kept, F.substring(text, F.get("runs", F.size("runs") - 1)["e"] + 1, F.length(text))))
-    done = told.select("doc", clean.alias("clean"), "runs")
-    new = {"text": F.col("clean"), "n_chars": F.when(F.size("runs") == 0, F.col("doc")["n_chars"]).otherwise(F.length("clean")).cast("long")} if "n_chars" in names else {"text": F.col("clean")}
+
+    def cut(gaps: Column) -> Column:
+        width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(gaps))).cast("int"))
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.size(gaps) - 1, width), lambda at: _let(F.slice(gaps, at + 1, width), stretch)), "")
+
+    def stretch(some: Column) -> Column:
+        begin = F.get(some, F.lit(0))["b"]
+        own = F.substring(text, begin + 1, F.element_at(some, -1)["e"] - begin)
+        return _let(own, lambda t: F.array_join(F.transform(some, lambda g: F.concat(F.substring(t, g["b"] - begin + 1, g["e"] - g["b"]), F.lit(mask))), ""))
+
+    none = F.size("gaps") == 0
+    clean = F.when(none, text).otherwise(F.concat(_let(F.col("gaps"), cut), F.substring(text, F.col("last") + 1, F.length(text))))
+    done = told.select("doc", clean.alias("clean"), none.alias("none"))
+    new = {"text": F.col("clean")}
+    if "n_chars" in names:
+        new["n_chars"] = F.when(F.col("none"), F.col("doc")["n_chars"]).otherwise(F.length("clean")).cast(docs.schema["n_chars"].dataType)
     return done.select(*(new.get(c, F.col("doc")[c]).alias(c) for c in names))

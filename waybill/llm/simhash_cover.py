@@ -11,7 +11,10 @@ Equal fingerprints are one node, so a group of exact copies costs one comparison
 listed: a union-find over the anchor's own fingerprints sends on at most one link a fingerprint. An anchor with
 more than ``hot`` fingerprints is not compared in its task: its members pass to a second covering of the other
 half (quarters, [15, 11] Hamming code beside one bit, same argument, as a pair there is within 3 of 32 bits)
-and from there, should one still be hot, to blocks of it that are compared block against block.
+and from there, should one still be hot, to blocks of it that are compared block against block. Anchors that are
+very hot are known beforehand from the anchors of ``SAMPLE`` fingerprints, and their members take that way without
+meeting in a task first. Which way an anchor goes never changes a link: the sample spares time only, and an anchor
+that it misses is passed on by its task while it is read, ``hot`` rows held at most.
 """
 
 from __future__ import annotations
@@ -25,12 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, drop_staged, stage_table, staged
+from .common import NO_ID, drop_staged, quoted, stage_table, staged
 from .components import components
 
 THRESHOLD, SHINGLE, SEED = 3, 3, 42
 #: An anchor with more fingerprints than this goes to the second covering, and in blocks of this beyond it.
 HOT = 8192
+#: Fingerprints whose anchors are counted beforehand, how many of them make an anchor suspect, and suspects at most.
+SAMPLE, SUSPECT, SUSPECTS = 100_000, 30, 10_000
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -199,10 +204,16 @@ def _compare(threshold: int, hot: int | None, by: tuple[str, ...]):
 
 
 def _compare_numbers(threshold: int, hot: int):
-    """As :func:`_compare` for the first covering, without a frame for each of its many small anchors."""
+    """As :func:`_compare` for the first covering, without a frame for each of its many small anchors. Of the anchor
+    that the end of a batch cuts, rows are held until there are over ``hot``; then they go on as they come."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: tuple | None = None
+        rest: list[tuple] = []  # of one anchor
+        passing: int | None = None  # the anchor whose rows go on
+
+        def members(keys, fps, docs, home) -> pa.RecordBatch:
+            none = pa.nulls(len(keys), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps), pa.array(docs), pa.array(home), none, none], names=["anchor", "fp", "doc", "home", "a", "b"])
 
         def groups(keys, fps, docs, home) -> Iterator[pa.RecordBatch]:
             cut = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)]
@@ -216,8 +227,7 @@ def _compare_numbers(threshold: int, hot: int):
             for k in np.flatnonzero(sizes > 2).tolist():
                 s, e = cut[k], cut[k + 1]
                 if e - s > hot:
-                    n = e - s
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[s:e]), pa.array(fps[s:e]), pa.array(docs[s:e]), pa.array(home[s:e]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=["anchor", "fp", "doc", "home", "a", "b"])
+                    yield members(keys[s:e], fps[s:e], docs[s:e], home[s:e])
                 elif home[s:e].any():
                     x, y = _forest(fps[s:e], docs[s:e], home[s:e], threshold)
                     a.append(x)
@@ -228,15 +238,30 @@ def _compare_numbers(threshold: int, hot: int):
 
         for batch in batches:
             new = tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            if rest is not None:
-                new = tuple(np.concatenate(x) for x in zip(rest, new, strict=True))
             if not len(new[0]):
                 continue
-            last = int(np.searchsorted(new[0], new[0][-1], side="left"))
-            rest = tuple(x[last:] for x in new)
-            yield from groups(*(x[:last] for x in new))
-        if rest is not None and len(rest[0]):
-            yield from groups(*rest)
+            if passing is not None:
+                end = int(np.searchsorted(new[0], passing, side="right"))
+                if end:
+                    yield members(*(x[:end] for x in new))
+                if end == len(new[0]):
+                    continue
+                passing, new = None, tuple(x[end:] for x in new)
+            if rest and rest[0][0][0] == new[0][-1]:  # the batch is all of the anchor that is held
+                rest.append(new)
+            else:
+                last = int(np.searchsorted(new[0], new[0][-1], side="left"))
+                whole = [tuple(x[:last] for x in new)] if last else []
+                if rest or whole:
+                    yield from groups(*(np.concatenate(x) for x in zip(*rest, *whole, strict=True)))
+                rest = [tuple(x[last:] for x in new)]
+            if sum(len(x[0]) for x in rest) > hot:
+                passing = int(rest[0][0][0])
+                for held in rest:
+                    yield members(*held)
+                rest = []
+        if rest:
+            yield from groups(*(np.concatenate(x) for x in zip(*rest, strict=True)))
 
     return run
 
@@ -253,18 +278,46 @@ def _blocks(members: DataFrame, block: int) -> DataFrame:
 def link_fingerprints(nodes: DataFrame, threshold: int = THRESHOLD, hot: int = HOT) -> DataFrame:
     """Links (a, b) that connect the documents of ``nodes`` (fp long distinct, doc long distinct) exactly as all
     pairs of fingerprints within ``threshold`` (3 or fewer) bits connect them."""
+    return _links_and_paths(nodes, threshold, hot)[0]
+
+
+def _links_and_paths(nodes: DataFrame, threshold: int, hot: int) -> tuple[DataFrame, list[str]]:
+    """The links, and the staged tables that they are read from."""
     if threshold > THRESHOLD:
         raise ValueError("the two halves cover thresholds up to 3")
-    spread = nodes.select("fp", "doc").mapInArrow(_spread, "anchor long, fp long, doc long, home boolean")
-    first, _ = staged(spread.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare_numbers(threshold, hot), _LINKS), "anchors")
+    kinds = "anchor long, fp long, doc long, home boolean"
+    spread = nodes.select("fp", "doc").mapInArrow(_spread, kinds)
+    suspects = _suspects(nodes, hot)
+    far = None
+    if suspects:
+        marked = spread.withColumn("suspect", F.col("anchor").isin(suspects))
+        spread, far = marked.where("not suspect").drop("suspect"), marked.where("suspect").drop("suspect")
+    first, first_path = staged(spread.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare_numbers(threshold, hot), _LINKS), "anchors")
     links = first.where("a is not null").select("a", "b")
     members = first.where("a is null").select("anchor", "fp", "doc", "home")
+    if far is not None:
+        members = members.union(far)
+    paths = [first_path]
     if not members.isEmpty():
         keys = ("anchor", "second", "p", "q")
         again = _blocks(members.mapInArrow(_spread_again, "anchor long, second long, fp long, doc long, home boolean"), hot)
-        second = again.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_compare(threshold, None, keys), _LINKS)
-        links = links.union(stage_table(second, "blocks").select("a", "b"))
-    return links
+        second, second_path = staged(again.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_compare(threshold, None, keys), _LINKS), "blocks")
+        links = links.union(second.select("a", "b"))
+        paths.append(second_path)
+    return links, paths
+
+
+def _suspects(nodes: DataFrame, hot: int) -> list[int]:
+    """Anchors that hold so many of SAMPLE fingerprints that all of them would be over ``hot``: SUSPECTS at most, a
+    bound on what is sent to the tasks. None in small tables."""
+    n = nodes.count()
+    if n <= hot:
+        return []
+    share = min(1.0, SAMPLE / n)
+    some = nodes.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 40)) < int(share * (1 << 40))).select("fp", "doc")
+    counts = some.mapInArrow(_spread, "anchor long, fp long, doc long, home boolean").groupBy("anchor").count()
+    found = counts.where(F.col("count") > max(SUSPECT, hot * share)).orderBy(F.desc("count"), "anchor").limit(SUSPECTS)
+    return sorted(r.anchor for r in found.collect())
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE, hot: int = HOT) -> DataFrame:
@@ -279,8 +332,11 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle: int =
     prints = stage_table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints(shingle), "doc_id long, fp long"), "prints")
     key = F.coalesce("doc_id", F.lit(NO_ID))
     nodes = stage_table(prints.groupBy("fp").agg(F.min(key).alias("first")).withColumn("doc", F.col("fp")), "nodes")
-    links = link_fingerprints(nodes.select("fp", "doc"), threshold, hot)
-    roots = components(links).select(F.col("node").alias("fp"), "root")
+    links, paths = _links_and_paths(nodes.select("fp", "doc"), threshold, hot)
+    found = components(links)  # has read all links into a table of its own
+    for path in paths:
+        drop_staged(docs.sparkSession, path)
+    roots = found.select(F.col("node").alias("fp"), "root")
     tops = nodes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = tops.groupBy("root").agg(F.min("first").alias("least"))
     of = tops.join(least, "root").select("fp", F.when(F.col("least") != NO_ID, F.col("least")).alias("component_id"))
@@ -289,7 +345,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle: int =
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows whose doc_id is their component's smallest: one document of each group, with all its columns.
-    Rows without an id are kept. Of repeated rows with the kept id all stay."""
+    Rows without an id are kept. Of repeated rows with the kept id all stay. An empty table gives an empty result."""
     found = near_duplicates(docs, **options)
     gone = found.where("doc_id is not null and component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*quoted(docs.columns))

@@ -1,19 +1,25 @@
 """Toxicity by a gap-weighted subsequence kernel, Nystroem landmarks and a linear support vector machine.
 
-Kernel: a unit (a word without its punctuation, or a run of single letters) and a landmark (a short string) are as
-alike as the best window of the unit: the normalised subsequence kernel of order 3 counts their common
-subsequences, each weighted by ``DECAY`` to the length it spans, so inserted, dropped and spaced-out characters
-lower the value and don't end it. A sentence has, for each landmark, the largest value of its units.
+Kernel: the normalised subsequence kernel of order 3 counts the common subsequences of two strings, each weighted by
+``DECAY`` to the length it spans on either side, so inserted, dropped and spaced-out characters lower the value and
+don't end it. Letters are code points: any script counts. Strings are units: a word without its punctuation, a run of
+single letters that were spaced out, or, of tokens over ``UNIT_LETTERS`` letters (scripts without spaces), overlapping
+windows of that many letters and the stretches that equal a landmark.
+
+The machine is one on units: f(u) = sum of a_j K(u, l_j) + b over landmarks l_j, fitted as a linear squared-hinge SVM on
+the Nystroem map K(u, L) K(L, L)**-1/2. A sentence's value is that of its strongest unit, a document's that of
+its strongest sentence, calibrated by Platt's method. Only documents are labelled, so the labels of a toxic
+document's sentences are settled in turns (multiple-instance learning): its strongest sentence is positive, and so is
+each other one over the margin; all sentences of clean documents are negative. Equal units are one row with its
+count, which changes nothing about the sum of losses.
 
 Landmarks are learned: substrings of words that are significantly more frequent in toxic training documents, chosen
-greedily so that each covers toxic documents that the ones before don't. Words of three letters are landmarks as
-they are, alike to a whole unit only; of units over ``UNIT_LETTERS`` (scripts without spaces) all substrings of 3 to 10
-letters are counted. Insults of one or two letters are under the kernel's order and can't be learned. Sentences are mapped by Nystroem
-(K_mm**-1/2) and separated by a squared-hinge SVM. Only documents are labelled, so the sentence labels of a toxic
-document are settled in turns (multiple-instance learning): its highest-scoring sentence is positive, all sentences
-of clean documents are negative. A document's score is the calibrated (Platt) value of its best sentence.
-
-Fitting uses at most ``MAX_TRAIN_DOCS`` labelled documents, chosen by a hash of their ids; scoring reads all texts.
+greedily so that each covers toxic documents that the ones before don't, as many as that takes. Words of three letters
+are landmarks as they are; of units over ``UNIT_LETTERS`` all substrings of 3 to 10 letters are counted. Insults of
+one or two letters are under the kernel's order and can't be learned.
+
+Fitting uses at most ``MAX_TRAIN_DOCS`` labelled documents, chosen by a hash of their ids, with all of their sentences
+and units; it is the only bound. Scoring reads all texts.
 """
 
 from __future__ import annotations
@@ -22,6 +28,8 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +39,12 @@ from pyspark.sql import functions as F
 from .common import stage_table
 
 ORDER, DECAY = 3, 0.7
-MAX_TRAIN_DOCS, MAX_WORDS, MAX_LANDMARKS = 30_000, 3_000, 48
-#: Kernel values under this count as 0; letters that a window may have beyond the landmark's; units longer than this many letters are read in overlapping windows.
-FLOOR, GAP, UNIT_LETTERS = 0.5, 3, 24
-CLEAN_COST, CACHE_WORDS = 5, 250_000
+MAX_TRAIN_DOCS = 30_000
+#: Units longer than this many letters are read in overlapping windows.
+UNIT_LETTERS = 24
+#: Chi-square from which on a word counts as more frequent, clean documents' weight in choosing landmarks, and tokens
+#: whose values a worker keeps, in two generations.
+CHI, CLEAN_COST, CACHE_WORDS = 20, 5, 250_000
 #: Letters of a landmark at most; marks before a substring counted in a long unit, and before a landmark that is a whole unit.
 LONGEST, PIECE, WHOLE = 10, "+", "="
 _LEET = str.maketrans("013457@", "oieasta")
@@ -68,9 +78,8 @@ def spaced(tokens: list[str]) -> list[str]:
 
 
 def _codes(words: list[str], width: int) -> np.ndarray:
-    """Letters as small numbers, 0 past the end."""
-    raw = np.frombuffer("".join(w.ljust(width, "\0") for w in words).encode("utf-32-le"), np.uint32).reshape(len(words), width)
-    return np.minimum(raw, 0x3FF).astype(np.int16)
+    """Letters as code points, 0 past the end."""
+    return np.frombuffer("".join(w.replace("\0", " ").ljust(width, "\0") for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), width).astype(np.int64)
 
 
 def subsequence_kernel(a: np.ndarray, b: np.ndarray, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
@@ -89,80 +98,76 @@ def subsequence_kernel(a: np.ndarray, b: np.ndarray, order: int = ORDER, decay:
     return decay * decay * np.where(same, inner[:, :la, :lb], 0.0).sum(axis=(1, 2))
 
 
-def _common(codes: np.ndarray, landmark: np.ndarray) -> np.ndarray:
-    """Length of the longest common subsequence of each row with a landmark, bit-parallel."""
-    m = len(landmark)
-    masks = np.zeros(0x400, np.uint32)
-    for j, c in enumerate(landmark):
-        masks[c] |= np.uint32(1 << j)
-    v = np.full(len(codes), (1 << m) - 1, np.uint32)
-    for i in range(codes.shape[1]):
-        u = v & masks[codes[:, i]]
-        v = (v + u) | (v - u)
-    return m - np.bitwise_count(v & np.uint32((1 << m) - 1))
-
-
-def _span(word: str, letters: str) -> tuple[int, int]:
-    """The shortest stretch of ``word`` that holds ``letters`` in order; (0, 0) without any."""
-    best = (0, 0)
-    at = word.find(letters[0])
-    while at >= 0:
-        end = at
-        for c in letters[1:]:
-            end = word.find(c, end + 1)
-            if end < 0:
-                return best
-        if not best[1] or end + 1 - at < best[1] - best[0]:
-            best = (at, end + 1)
-        at = word.find(letters[0], at + 1)
-    return best
-
-
-def _windows(word: str, landmark: str) -> set[str]:
-    """Stretches of a word that may be alike: they hold the landmark, or from six letters on all but one of its
-    letters, over at most GAP more letters than it has."""
-    forms = [landmark] + [landmark[:i] + landmark[i + 1 :] for i in range(len(landmark))] * (len(landmark) >= 6)
-    spans = (_span(word, f) for f in forms)
-    return {word[s:e] for s, e in spans if ORDER <= e - s <= len(landmark) + GAP}
-
-
-def kernel_values(words: list[str], landmarks: list[str]) -> np.ndarray:
-    """Words (rows) by landmarks: the best window's normalised kernel, 0 under FLOOR."""
-    out = np.zeros((len(words), len(landmarks)), np.float32)
-    if whole := {x[1:]: j for j, x in enumerate(landmarks) if x[0] == WHOLE}:
-        for i, w in enumerate(words):
-            if (j := whole.get(w)) is not None:
-                out[i, j] = 1.0
-    step = UNIT_LETTERS // 2
-    parts = [(w[at : at + UNIT_LETTERS], i) for i, w in enumerate(words) for at in range(0, max(1, len(w) - step), step)]
-    parts.sort(key=lambda p: len(p[0]))
-    pairs: list[tuple[str, int, int]] = []
-    for at in range(0, len(parts), 8192):
-        some = parts[at : at + 8192]
-        codes = _codes([p for p, _ in some], max(1, len(some[-1][0])))
-        for j, landmark in enumerate(landmarks):
-            if landmark[0] == WHOLE:
-                continue
-            need = len(landmark) - (len(landmark) >= 6)
-            for k in np.flatnonzero(_common(codes, _codes([landmark], len(landmark))[0]) >= need).tolist():
-                part, i = some[k]
-                if landmark in part:
-                    out[i, j] = 1.0
-                elif out[i, j] < 1:
-                    pairs += [(w, i, j) for w in _windows(part, landmark)]
-    for at in range(0, len(pairs), 8192):
-        windows, rows, columns = zip(*pairs[at : at + 8192], strict=True)
-        a = _codes(list(windows), max(map(len, windows)))
-        b = _codes([landmarks[j] for j in columns], max(map(len, landmarks)))
-        alike = subsequence_kernel(a, b) / np.sqrt(subsequence_kernel(a, a) * subsequence_kernel(b, b))
-        alike[alike < FLOOR] = 0
-        np.maximum.at(out, (list(rows), list(columns)), alike.astype(np.float32))
-    return out
+@lru_cache(maxsize=64)
+def _places(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The triples i < j < k of n places, and the weight of each."""
+    i, j, k = (np.array(c, np.int64) for c in zip(*combinations(range(n), ORDER), strict=True))
+    return i, j, k, DECAY ** (k - i + 1.0)
+
+
+def _triples(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of n letters -> their subsequences of three letters, each as one number, and the weights of places."""
+    i, j, k, weight = _places(codes.shape[1])
+    return (codes[:, i] << 42) | (codes[:, j] << 21) | codes[:, k], weight
+
+
+class Landmarks:
+    """Landmarks by their subsequences: what a unit shares with all of them is one lookup a subsequence."""
+
+    def __init__(self, names: list[str]) -> None:
+        self.names = names
+        plain = [x.removeprefix(WHOLE) for x in names]
+        rows = []
+        for j, x in enumerate(plain):
+            keys, weight = _triples(_codes([x], len(x)))
+            own, at = np.unique(keys[0], return_inverse=True)
+            sums = np.bincount(at, weight)
+            rows.append((own, np.full(len(own), j), sums / np.sqrt((sums**2).sum())))
+        keys, columns, values = (np.concatenate(c) for c in zip(*rows, strict=True)) if rows else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        self.keys, at = np.unique(keys, return_inverse=True)
+        self.weights = np.zeros((len(self.keys), len(names)))
+        np.add.at(self.weights, (at, columns), values)
+        #: Landmarks that count wherever a long token holds them.
+        self.inside = [x for x in names if x[0] != WHOLE]
+        self.machine = _automaton(self.inside) if self.inside else None
+
+    def kernel(self, units: list[str]) -> np.ndarray:
+        """Units (of ORDER to UNIT_LETTERS letters) by landmarks: the normalised subsequence kernel."""
+        out = np.zeros((len(units), len(self.names)))
+        if not len(self.keys):
+            return out
+        by: dict[int, list[int]] = {}
+        for n, u in enumerate(units):
+            by.setdefault(len(u), []).append(n)
+        for size, rows in by.items():
+            step = max(16, 400_000 // (len(_places(size)[0]) * (1 + len(self.names) // 32)))
+            for at in range(0, len(rows), step):
+                some = rows[at : at + step]
+                codes = _codes([units[n] for n in some], size)
+                keys, weight = _triples(codes)
+                place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+                row, column = np.nonzero(self.keys[place] == keys)
+                if len(row):
+                    starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+                    shared = np.add.reduceat(self.weights[place[row, column]] * weight[column, None], starts, axis=0)
+                    own = codes[row[starts]]
+                    out[np.array(some)[row[starts]]] = shared / np.sqrt(subsequence_kernel(own, own))[:, None]
+        return out
+
+    def instances(self, word: str) -> list[str]:
+        """The units of a word: itself, or of a long one its windows and the landmarks that it holds."""
+        if len(word) < ORDER:
+            return []
+        if len(word) <= UNIT_LETTERS:
+            return [word]
+        step = UNIT_LETTERS // 2
+        found = {self.inside[i] for _, i in self.machine.iter(word)} if self.machine else set()
+        return [*(word[at : at + UNIT_LETTERS] for at in range(0, len(word) - step, step) if len(word) - at >= ORDER), *sorted(found)]
 
 
 @dataclass
 class Model:
-    """landmarks; beta: the SVM's weights on kernel values; bias; Platt's slope and shift."""
+    """landmarks; beta: the machine's weights on kernel values; bias; Platt's slope and shift."""
 
     landmarks: list[str]
     beta: np.ndarray
@@ -175,12 +180,13 @@ class Model:
 
 
 class _Reader:
-    """Kernel values of tokens, kept in two generations: 0 for the many without any."""
+    """Decisions on tokens, kept in two generations: the largest f of a token's units."""
 
-    def __init__(self, landmarks: list[str]) -> None:
-        self.landmarks = landmarks
-        self.new: dict[str, np.ndarray | int] = {}
-        self.old: dict[str, np.ndarray | int] = {}
+    def __init__(self, model: Model) -> None:
+        self.model = model
+        self.landmarks = Landmarks(model.landmarks)
+        self.new: dict[str, float] = {}
+        self.old: dict[str, float] = {}
 
     def turn(self) -> None:
         """Between blocks of texts only: the tokens of a block stay known while it is read."""
@@ -196,44 +202,41 @@ class _Reader:
                 self.new[t] = known
         if not unknown:
             return
-        units = [unit(t) for t in unknown]
-        words = sorted({u for u in units if len(u) >= ORDER})
-        values = kernel_values(words, self.landmarks) if words else np.zeros((0, len(self.landmarks)), np.float32)
-        some = values.any(axis=1)
-        known = {w: values[i] for i, w in enumerate(words) if some[i]}
-        for t, u in zip(unknown, units, strict=True):
-            self.new[t] = known.get(u, 0)
-
-    def sentences(self, text: str, tokens: list[str]) -> list[np.ndarray]:
-        """Kernel values of the sentences that have any. ``tokens`` of the text are learned already."""
+        units: list[str] = []
+        ends = []
+        for t in unknown:
+            units += self.landmarks.instances(unit(t))
+            ends.append(len(units))
+        f = self.landmarks.kernel(units) @ self.model.beta + self.model.bias if units else np.empty(0)
+        begin = 0
+        for t, end in zip(unknown, ends, strict=True):
+            self.new[t] = float(f[begin:end].max()) if end > begin else self.model.bias
+            begin = end
+
+    def decision(self, text: str, tokens: list[str]) -> float:
+        """The largest f of a text's units, the empty one among them. ``tokens`` are learned already."""
         new = self.new
-        apart = spaced(tokens)
-        if apart:
-            self.learn(set(apart))
-        if not any(type(new[t]) is not int for t in set(tokens)) and not any(type(new[t]) is not int for t in apart):
-            return []
-        found = []
-        for sentence in _SENTENCE.split(text):
-            own = sentence.split()
-            hits = [new[t] for t in {*own, *(spaced(own) if apart else ())} if type(new.get(t, 0)) is not int]
-            if hits:
-                found.append(np.max(hits, axis=0))
-        if not found:
-            found = [np.max([new[t] for t in apart if type(new[t]) is not int], axis=0)]
-        return found
-
-
-def _texts(batches: Iterator[pa.RecordBatch], reader: _Reader, rows: int = 256) -> Iterator[tuple[list, list[str], list[list[str]]]]:
-    """Other columns, texts and tokens by the block, tokens learned."""
+        best = max(map(new.__getitem__, set(tokens)), default=self.model.bias)
+        if spaced(tokens):  # runs of single letters end with their sentence
+            apart = {x for sentence in _SENTENCE.split(text) for x in spaced(sentence.split())}
+            self.learn(apart)
+            best = max([best, *map(new.__getitem__, apart)])
+        return max(best, self.model.bias)
+
+
+def _texts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[tuple[list, list[str]]]:
+    """Other columns and texts by the block."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
-            part = batch.slice(at, rows)
-            *rest, texts = (c.to_pylist() for c in part.columns)
-            texts = [t or "" for t in texts]
-            tokens = [t.split() for t in texts]
-            reader.turn()
-            reader.learn(set().union(*tokens))
-            yield rest, texts, tokens
+            *rest, texts = (c.to_pylist() for c in batch.slice(at, rows).columns)
+            yield rest, [t or "" for t in texts]
+
+
+def _decide(reader: _Reader, texts: list[str]) -> list[float]:
+    tokens = [t.split() for t in texts]
+    reader.turn()
+    reader.learn(set().union(*tokens))
+    return [reader.decision(t, own) for t, own in zip(texts, tokens, strict=True)]
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,7 +313,7 @@ def _covered(subs: list[str]):
     return run
 
 
-def _choose(rows: list[list[int]], subs: list[str], clean: list[float], most: int, cover: int = 3) -> list[str]:
+def _choose(rows: list[list[int]], subs: list[str], clean: list[float], cover: int = 3) -> list[str]:
     """Greedy cover: each toxic document up to ``cover`` times. A substring gains the documents that it covers anew
     less CLEAN_COST for each clean document that holds it; of equal gains the longer, then the first by
     name. A substring that lies in a chosen one, or holds one, adds nothing and goes."""
@@ -320,7 +323,7 @@ def _choose(rows: list[list[int]], subs: list[str], clean: list[float], most: in
             holds.setdefault(i, set()).add(d)
     need = [cover] * len(rows)
     chosen: list[str] = []
-    while holds and len(chosen) < most:
+    while holds:
         gain, _, _, i = max((sum(need[d] > 0 for d in h) - CLEAN_COST * clean[i], len(subs[i]), [-ord(c) for c in subs[i]], i) for i, h in holds.items())
         if gain < 2:
             break
@@ -331,21 +334,36 @@ def _choose(rows: list[list[int]], subs: list[str], clean: list[float], most: in
     return chosen
 
 
-def _sentence_rows(landmarks: list[str], most: int = 4):
-    """(doc, toxic, text) -> kernel values of sentences: of a toxic document all, of a clean one the heaviest."""
+def _bags(names: list[str]):
+    """(doc, text) -> a row a sentence: the document and its units."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        landmarks = Landmarks(names)
+        for (docs,), texts in _texts(batches):
+            ids, bags = [], []
+            for d, text in zip(docs, texts, strict=True):
+                for sentence in _SENTENCE.split(text):
+                    own = sentence.split()
+                    units = sorted({x for t in own for x in landmarks.instances(unit(t))}.union(*(landmarks.instances(x) for x in spaced(own))))
+                    if units:
+                        ids.append(d)
+                        bags.append(units)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bags, pa.list_(pa.string()))], names=["doc", "units"])
+
+    return run
+
+
+def _valued(names: list[str]):
+    """(unit, n) -> unit, n and its kernel values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _Reader(landmarks)
-        for (docs, toxic), texts, tokens in _texts(batches, reader):
-            ids, labels, rows = [], [], []
-            for d, y, text, own in zip(docs, toxic, texts, tokens, strict=True):
-                found = reader.sentences(text, own) or [np.zeros(len(landmarks), np.float32)]
-                found.sort(key=lambda x: -float(x.sum()))
-                for x in found[: most * (1 + 4 * y)]:
-                    ids.append(d)
-                    labels.append(y)
-                    rows.append(x.tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(labels, pa.int32()), pa.array(rows, pa.list_(pa.float32()))], names=["doc", "toxic", "x"])
+        landmarks = Landmarks(names)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 8192):
+                part = batch.slice(at, 8192)
+                values = landmarks.kernel(part.column(0).to_pylist()).astype(np.float32)
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, max(1, len(names))), pa.int32()), pa.array(values.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), flat], names=["unit", "n", "x"])
 
     return run
 
@@ -399,7 +417,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> M
     df = F.col("pos") + F.col("neg")
     lift = F.col("pos") * (n - n_pos) - F.col("neg") * n_pos
     chi = F.lit(float(n)) * F.pow(lift.cast("double"), 2) / (df * (n - df) * F.lit(float(n_pos) * (n - n_pos)))
-    words = [r.unit for r in vocabulary.where((df < n) & (lift > 0) & (F.col("pos") >= 3)).withColumn("chi", chi).where("chi > 20").orderBy(F.desc("chi"), "unit").limit(MAX_WORDS).collect()]
+    words = [r.unit for r in vocabulary.where((df < n) & (lift > 0) & (F.col("pos") >= 3)).withColumn("chi", chi).where(F.col("chi") > CHI).orderBy("unit").select("unit").collect()]
     subs = {w[1:] for w in words if w[0] == PIECE} | {WHOLE + w for w in words if len(w) == ORDER}
     subs = sorted(subs | {w[s : s + k] for w in words if w[0] != PIECE for k in range(ORDER + 1, LONGEST + 1) for s in range(len(w) - k + 1)})
     chosen: list[str] = []
@@ -409,79 +427,101 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> M
         if some:
             names = [x for x, _ in some]
             rows = [r.subs for r in train.where("toxic = 1").select("text").mapInArrow(_covered(names), "subs array<int>").collect()]
-            chosen = _choose(rows, names, [c for _, c in some], MAX_LANDMARKS)
+            chosen = _choose(rows, names, [c for _, c in some])
     if not chosen:
         p = (n_pos + 1) / (n + 2)
         return Model([], np.zeros(0), 0.0, 0.0, float(np.log(p / (1 - p))))
-    rows = train.select("doc", "toxic", "text").mapInArrow(_sentence_rows(chosen), "doc long, toxic int, x array<float>").toPandas()
-    return _fit(chosen, np.stack(rows["x"].to_numpy()).astype(float), rows["toxic"].to_numpy(), rows["doc"].to_numpy())
+    bags = train.where("toxic = 1").select("doc", "text").mapInArrow(_bags(chosen), "doc long, units array<string>").toArrow()
+    clean = train.where("toxic = 0").select("doc", "text").mapInArrow(_bags(chosen), "doc long, units array<string>")
+    counts = clean.select(F.explode("units").alias("unit")).groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
+    valued = stage_table(counts.mapInArrow(_valued(chosen), "unit string, n long, x array<float>"), "units")
+    shared = F.exists("x", lambda v: v > 0)
+    negative = valued.where(shared).orderBy("unit").select("n", "x").toArrow()
+    far = valued.where(~shared).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # f is the bias on all of them
+    model = _machine(chosen, _matrix(negative.column("x"), len(chosen)), negative.column("n").to_numpy(), far, bags.column("doc").to_pylist(), bags.column("units").to_pylist(), (n - n_pos) / n_pos)
+    told = train.select("toxic", "text").mapInArrow(_labelled(model), "toxic long, decision double").toArrow()
+    model.slope, model.shift = _platt(told.column("decision").to_numpy(), told.column("toxic").to_numpy().astype(float))
+    return model
+
+
+def _matrix(lists: pa.ChunkedArray, width: int) -> np.ndarray:
+    return lists.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(float) if len(lists) else np.empty((0, width))
+
+
+def _labelled(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = _Reader(model)
+        for (labels,), texts in _texts(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int64()), pa.array(_decide(reader, texts), pa.float64())], names=["toxic", "decision"])
+
+    return run
 
 
-def _fit(landmarks: list[str], x: np.ndarray, toxic: np.ndarray, doc: np.ndarray) -> Model:
-    gram = np.eye(len(landmarks))
-    plain = [x.removeprefix(WHOLE) for x in landmarks]
-    for j, b in enumerate(landmarks):
-        for i, a in enumerate(landmarks):
-            gram[i, j] = max(kernel_values([plain[i]], [b])[0, 0], kernel_values([plain[j]], [a])[0, 0])
+def _machine(names: list[str], negative: np.ndarray, count: np.ndarray, far: int, docs: list[int], sentences: list[list[str]], balance: float) -> Model:
+    """The SVM on units. negative, count: kernel values of the units in sentences of clean documents, and how often
+    each stands there; far: how often units without any kernel value do. docs, sentences: of toxic documents."""
+    landmarks = Landmarks(names)
+    gram = landmarks.kernel([x.removeprefix(WHOLE) for x in names])
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
-    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
-    z = x @ root
-    _, group = np.unique(doc, return_inverse=True)
-    label = np.zeros(group.max() + 1)
-    label[group] = toxic
-    score = x.sum(axis=1)
-    positive = (toxic > 0) & (score > 0)
-    w = np.zeros(len(landmarks) + 1)
-    for _ in range(8):
-        order = np.lexsort((-score, group))
-        best = order[np.r_[True, group[order][1:] != group[order][:-1]]]  # each document's best sentence
-        positive[best] |= toxic[best] > 0
-        use = np.flatnonzero((toxic == 0) | positive)
-        y = np.where(positive[use], 1.0, -1.0)
-        share = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum())))
-        new = _svm(z[use], y, np.minimum(share, 4.0))
+    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
+    units = sorted({u for s in sentences for u in s})
+    index = {u: i for i, u in enumerate(units)}
+    z = landmarks.kernel(units) @ root
+    minus = np.vstack([negative @ root, np.zeros((1, len(names)))])
+    lost = np.r_[count, far].astype(float)
+    bags = [np.array([index[u] for u in s]) for s in sentences]
+    f = landmarks.kernel(units).max(axis=1)  # to begin with: how near a landmark
+    margin = np.inf
+    w = np.zeros(len(names) + 1)
+    _, doc = np.unique(np.array(docs), return_inverse=True)
+    for _ in range(10):
+        top = np.array([b[np.argmax(f[b])] for b in bags])  # each sentence's strongest unit
+        order = np.lexsort((-f[top], doc))
+        first = order[np.r_[True, doc[order][1:] != doc[order][:-1]]]  # each document's strongest sentence
+        chosen = np.zeros(len(bags), bool)
+        chosen[first] = True
+        chosen |= f[top] > margin
+        plus, n = np.unique(top[chosen], return_counts=True)
+        x = np.vstack([z[plus], minus])
+        y = np.r_[np.ones(len(plus)), -np.ones(len(minus))]
+        new = _svm(x, y, np.r_[n * min(balance, 4.0), lost])
         if np.abs(new - w).max() < 1e-6:
             break
-        w, score = new, z @ new[:-1] + new[-1]
-        positive = (toxic > 0) & (score > 0)
-    top = np.full(len(label), -np.inf)
-    np.maximum.at(top, group, z @ w[:-1] + w[-1])
-    slope, shift = _platt(top, label)
-    return Model(landmarks, root @ w[:-1], float(w[-1]), slope, shift)
+        w, margin = new, 0.0
+        f = z @ w[:-1] + w[-1]
+    return Model(names, root @ w[:-1], float(w[-1]), 1.0, 0.0)
 
 
 def _scorer(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _Reader(model.landmarks)
-        plain = model.score(model.bias)
-        for (ids,), texts, tokens in _texts(batches, reader):
-            scores = []
-            for text, own in zip(texts, tokens, strict=True):
-                found = reader.sentences(text, own) if model.landmarks else []
-                scores.append(max(plain, model.score(float((np.stack(found) @ model.beta).max()) + model.bias)) if found else plain)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(scores, pa.float64())], names=["id", "score"])
+        reader = _Reader(model)
+        for (ids,), texts in _texts(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([model.score(d) for d in _decide(reader, texts)], pa.float64())], names=["id", "score"])
 
     return run
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """One row a row of ``docs`` (doc_id, text; others are ignored): doc_id, held_out, score, predicted. Null and
-    empty texts score as texts without any landmark. A null doc_id is not held out."""
+    empty texts score as texts without any landmark. A null doc_id is not held out. Repeated rows each get their row; an
+    empty table gives an empty result."""
     scored = docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(_scorer(model), "id long, score double")
     return scored.select(F.col("id").alias("doc_id"), F.coalesce(~train_fold(F.col("id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def _clean(model: Model, threshold: float):
+def _clean(model: Model, threshold: float, text: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = _scorer(model)
+        reader = _Reader(model)
         for batch in batches:
-            slim = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(batch.schema.get_field_index("text"))], names=["id", "text"])
-            keep = np.concatenate([b.column(1).to_numpy() for b in judge(iter([slim]))] or [np.empty(0)]) < threshold
-            yield batch.filter(pa.array(keep))
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                found = _decide(reader, [t or "" for t in part.column(text).to_pylist()])
+                yield part.filter(pa.array([model.score(d) < threshold for d in found]))
 
     return run
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, all columns, whose score is under the threshold."""
-    return docs.mapInArrow(_clean(model, threshold), docs.schema)
+    """The rows of ``docs``, all columns, whose score is under the threshold. An empty table gives an empty result."""
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names with dots don't pass mapInArrow
+    return plain.mapInArrow(_clean(model, threshold, docs.columns.index("text")), plain.schema).toDF(*docs.columns)

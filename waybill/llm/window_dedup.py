@@ -2,41 +2,60 @@
 
 Plan, for documents of any number:
 
-1. Each map task hashes its windows in numpy (prefix sums modulo 2**64, 13 multiply-adds a window). Within
-   the task a window that also starts in a smaller document of the same task is settled at once; of every
-   distinct window only one (hash, smallest document) is sent on. A window in a third of all documents
-   therefore costs one entry a task, not one a document.
-2. The entries are sent as packed blocks, one row a (task, hash bucket): sorted hash deltas and documents in
-   byte planes, compressed. Eight bytes or so a distinct window cross the network.
-3. Each bucket counts its hashes, finds the smallest document of each and returns (document, hash) for the
+1. Each map task hashes its windows in numpy. A word's symbol is its XXH64; a window's hash is the Rabin-Karp
+   polynomial of its symbols in two bases, 64 bits of the one and ``EXTRA`` bytes of the other. Within the task a
+   window that also starts in a smaller document of the same task is settled at once; of every distinct window
+   only one (hash, smallest document) is sent on. A window in a third of all documents therefore costs
+   one entry a task, not one a document.
+2. The entries are sent as blocks, one row a (task, hash bucket): while blocks are large, sorted hash deltas and
+   documents in byte planes, compressed; where a table is so large that a task has few windows a bucket, plain
+   records cut out of one buffer without a call a block. The number of buckets follows the table's size, and the
+   number of shuffle partitions that of buckets.
+3. Each bucket counts its hashes, finds the smallest document of each and returns (document, hashes) for the
    entries that a smaller document beats.
-4. Documents meet their settled hashes in one join on doc_id; marked windows merge into maximal intervals.
+4. Documents meet their settled hashes in one join; marked windows merge into maximal intervals.
 
-Two different windows share a 64-bit hash with probability n**2 / 2**65 over a corpus of n windows.
+Two different windows share all 64 + 16 bits with probability n**2 / 2**81 over a corpus of n windows (1e-7 for 1e9
+windows, the words of 5 GB; ``extra`` 4 gives n**2 / 2**97).
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, stage_table
-
 WINDOW = 13
-#: Distinct windows that a bucket holds on average, and windows a map task gathers before it sends them.
-BUCKET_WINDOWS, FLUSH_WINDOWS, CHUNK_BYTES = 500_000, 3_000_000, 2_000_000
+#: Bytes of the second hash that are kept beside the first.
+EXTRA = 2
+#: Distinct windows that a bucket holds on average, buckets at most, windows a map task gathers before it sends them,
+#: bytes of text hashed at once, buckets a shuffle partition holds, and windows from which on a block is compressed.
+BUCKET_WINDOWS, MAX_BITS, FLUSH_WINDOWS, CHUNK_BYTES, PART_BUCKETS, PACK_FROM = 500_000, 22, 2_000_000, 2_000_000, 4, 64
+#: Words whose symbols a Python worker keeps.
+CACHE_WORDS = 200_000
+#: Documents without an id come behind all others, each distinct text at a place of its own.
+NULL_IDS, NULL_BITS = (1 << 63) - (1 << 60), 60
 
 _U = np.uint64
-_BYTE_BASE, _WORD_BASE = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers: dict[int, np.ndarray] = {}
+_BASES = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
+
+
+class _Symbols(dict):
+    """XXH64 of words, computed once while they are kept."""
+
+    def __missing__(self, word: bytes) -> int:
+        got = self[word] = xxhash.xxh64_intdigest(word)
+        return got
+
+
+_symbols = _Symbols()
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -46,118 +65,129 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _power(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    have = _powers.get(int(base))
-    if have is None or len(have) < n:
-        out = np.full(max(n, CHUNK_BYTES + 65536), base, _U)
-        out[0] = 1
-        have = np.multiply.accumulate(out)
-        if n <= CHUNK_BYTES + 65536:
-            _powers[int(base)] = have
-    return have[:n]
-
-
-_BYTE_INVERSE = _U(pow(int(_BYTE_BASE), -1, 1 << 64))
-
-
-def window_hashes(texts: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each window of ``window`` consecutive words, and the index of its text, in order of place."""
-    buf = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
-    space = _SPACE[buf]
-    starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
-    ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
-    if len(starts) < window:
-        return np.empty(0, _U), np.empty(0, np.int64)
-    prefix = np.zeros(len(buf) + 1, _U)
-    np.cumsum((buf.astype(_U) + _U(1)) * _power(_BYTE_BASE, len(buf)), out=prefix[1:])
-    words = (prefix[ends] - prefix[starts]) * _power(_BYTE_INVERSE, len(buf))[starts]
-    words = _mix(words ^ ((ends - starts).astype(_U) * _U(0xC2B2AE3D27D4EB4F)))
-    n = len(words) - window + 1
-    total = np.zeros(n, _U)
-    for k in range(window):
-        total *= _WORD_BASE
-        total += words[k : k + n]
-    bounds = np.cumsum([1] + [len(t) + 1 for t in texts])
-    owner = np.searchsorted(bounds, starts, side="right") - 1
+def window_hashes(texts: list[bytes], window: int = WINDOW, extra: int = EXTRA) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and second hash of each window of ``window`` consecutive words, and the index of its text, in order of
+    place. A window never reaches over two texts."""
+    if len(_symbols) > CACHE_WORDS:
+        _symbols.clear()
+    words = [t.split() for t in texts]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    symbols = np.fromiter(map(_symbols.__getitem__, chain.from_iterable(words)), _U, int(sizes.sum()))
+    n = len(symbols) - window + 1
+    if n <= 0:
+        return np.empty(0, _U), np.empty(0, _U), np.empty(0, np.int64)
+    owner = np.repeat(np.arange(len(words)), sizes)
     whole = owner[:n] == owner[window - 1 :]
-    return _mix(total[whole]), owner[:n][whole]
+    found = []
+    for base in _BASES:
+        total = np.zeros(n, _U)
+        for k in range(window):
+            total *= base
+            total += symbols[k : k + n]
+        found.append(_mix(total[whole]))
+    return found[0], found[1] >> _U(64 - 8 * extra), owner[:n][whole]
+
+
+def _order(hashes: np.ndarray, extra: np.ndarray) -> np.ndarray:
+    """The order by first, then second hash. Equal first hashes with different second ones are next to none."""
+    order = np.argsort(hashes, kind="stable")
+    h, x = hashes[order], extra[order]
+    return np.lexsort((extra, hashes)) if ((h[1:] == h[:-1]) & (x[1:] != x[:-1])).any() else order
 
 
-def _planes(a: np.ndarray) -> bytes:
-    return a.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+def _smallest(hashes: np.ndarray, extra: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Hashes sorted, their documents, starts of the equal runs, and each run's smallest document."""
+    order = _order(hashes, extra)
+    hashes, extra, docs = hashes[order], extra[order], docs[order]
+    first = np.flatnonzero(np.r_[True, (hashes[1:] != hashes[:-1]) | (extra[1:] != extra[:-1])]) if len(hashes) else np.empty(0, np.int64)
+    least = np.minimum.reduceat(docs, first) if len(hashes) else docs
+    return hashes, extra, docs, first, least
 
 
-def _from_planes(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
+def _records(hashes: np.ndarray, extra: np.ndarray, width: int, docs: np.ndarray | None = None) -> np.ndarray:
+    """Rows of bytes: hash, second hash, and the document where it is given."""
+    parts = [hashes.astype("<u8").view(np.uint8).reshape(-1, 8), np.ascontiguousarray(extra.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])]
+    return np.concatenate(parts + ([docs.astype("<i8").view(np.uint8).reshape(-1, 8)] if docs is not None else []), axis=1)
 
 
-def _pack(hashes: np.ndarray, docs: np.ndarray) -> bytes:
-    deltas = np.diff(hashes, prepend=_U(0))
-    return zstandard.ZstdCompressor(level=1).compress(_planes(deltas) + _planes(docs.view(_U)))
+def _read(raw: bytes, width: int, with_docs: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    rows = np.frombuffer(raw, np.uint8).reshape(-1, 8 + width + 8 * with_docs)
+    whole = np.zeros((len(rows), 8), np.uint8)
+    whole[:, :width] = rows[:, 8 : 8 + width]
+    docs = np.ascontiguousarray(rows[:, 8 + width :]).view("<i8").reshape(-1) if with_docs else None
+    return np.ascontiguousarray(rows[:, :8]).view("<u8").reshape(-1), whole.view("<u8").reshape(-1), docs
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    both = zstandard.ZstdDecompressor().decompress(blob)
-    half = len(both) // 2
-    return np.cumsum(_from_planes(both[:half]), dtype=_U), _from_planes(both[half:]).view(np.int64)
+def _pack(hashes: np.ndarray, extra: np.ndarray, width: int, docs: np.ndarray) -> bytes:
+    """Records in byte planes, compressed, hashes as differences."""
+    return zstandard.ZstdCompressor(level=1).compress(_records(np.diff(hashes, prepend=_U(0)), extra, width, docs).T.tobytes())
 
 
-def _smallest(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted hashes, their documents, starts of the equal runs, and each run's smallest document."""
-    order = np.argsort(hashes, kind="stable")
-    hashes, docs = hashes[order], docs[order]
-    first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]]) if len(hashes) else np.empty(0, np.int64)
-    least = np.minimum.reduceat(docs, first) if len(hashes) else docs
-    return hashes, docs, first, least
+def _unpack(blob: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(16 + width, -1)
+    deltas, extra, docs = _read(np.ascontiguousarray(planes.T).tobytes(), width, True)
+    return np.cumsum(deltas, dtype=_U), extra, docs
+
+
+def _cut(rows: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """Rows of bytes as binary values, one from each start to the next, all in one buffer."""
+    width = rows.shape[1]
+    offsets = (np.r_[starts, len(rows)] * width).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))]).cast(pa.binary())
+
+
+def _runs(values: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.empty(0, np.int64)
 
 
-#: Rows between the steps. bucket: where a block is counted. key: the document whose windows are settled.
-_SENT = pa.schema([("bucket", pa.int64()), ("key", pa.int64()), ("block", pa.binary())])
+#: Rows between the steps. bucket: where a block is counted. key: the document whose windows are settled; or null, and
+#: the block holds windows to count. packed: the block is compressed.
+_SENT = ["bucket", "key", "packed", "block"]
+_SENT_DDL = "bucket long, key long, packed boolean, block binary"
 
 
-def _sender(window: int, bits: int):
+def _sent(bucket: np.ndarray, key: np.ndarray | None, packed: bool, block: pa.Array) -> Iterator[pa.RecordBatch]:
+    n = len(block)
+    keys = pa.nulls(n, pa.int64()) if key is None else pa.array(key, pa.int64())
+    yield from pa.Table.from_arrays([pa.array(bucket, pa.int64()), keys, pa.array(np.full(n, packed)), block], names=_SENT).to_batches(max_chunksize=256 if packed else 20_000)
+
+
+def _sender(window: int, bits: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes: list[np.ndarray] = []
-        docs: list[np.ndarray] = []
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            h, d, first, least = _smallest(np.concatenate(hashes), np.concatenate(docs))
-            rows: dict[str, list] = {"bucket": [], "key": [], "block": []}
-            beaten = d > np.repeat(least, np.diff(np.r_[first, len(h)]))
-            if beaten.any():
-                bh, bd = h[beaten], d[beaten]
-                order = np.lexsort((bh, bd))
-                bh, bd = bh[order], bd[order]
-                keep = np.r_[True, (bh[1:] != bh[:-1]) | (bd[1:] != bd[:-1])]
-                bh, bd = bh[keep], bd[keep]
-                cut = np.flatnonzero(np.r_[True, bd[1:] != bd[:-1]])
-                for s, e in zip(cut, np.r_[cut[1:], len(bd)], strict=True):
-                    rows["bucket"].append(int(bd[s]) & ((1 << bits) - 1))
-                    rows["key"].append(int(bd[s]))
-                    rows["block"].append(bh[s:e].astype("<u8").tobytes())
-            h = h[first]
+            h, x, d, first, least = _smallest(*(np.concatenate(c) for c in zip(*found, strict=True)))
+            found.clear()
+            beaten = np.flatnonzero(d > np.repeat(least, np.diff(np.r_[first, len(h)])))
+            if len(beaten):
+                beaten = beaten[np.argsort(d[beaten], kind="stable")]
+                bh, bx, bd = h[beaten], x[beaten], d[beaten]
+                keep = np.r_[True, (bh[1:] != bh[:-1]) | (bx[1:] != bx[:-1]) | (bd[1:] != bd[:-1])]
+                bh, bx, bd = bh[keep], bx[keep], bd[keep]
+                starts = _runs(bd)
+                yield from _sent(bd[starts] & ((1 << bits) - 1), bd[starts], False, _cut(_records(bh, bx, width), starts))
+            h, x = h[first], x[first]
             buckets = (h >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
-            cut = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1]])
-            for s, e in zip(cut, np.r_[cut[1:], len(h)], strict=True):
-                rows["bucket"].append(int(buckets[s]))
-                rows["key"].append(None)
-                rows["block"].append(_pack(h[s:e], least[s:e]))
-            yield from pa.Table.from_pydict(rows, _SENT).to_batches(max_chunksize=256)
+            starts = _runs(buckets)
+            if len(h) < PACK_FROM * len(starts):
+                yield from _sent(buckets[starts], None, False, _cut(_records(h, x, width, least), starts))
+            else:
+                blocks = [_pack(h[s:e], x[s:e], width, least[s:e]) for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(h)], strict=True)]
+                yield from _sent(buckets[starts], None, True, pa.array(blocks, pa.binary()))
 
         def take(texts: list[bytes], keys: list[int]) -> int:
-            h, owner = window_hashes(texts, window)
-            hashes.append(h)
-            docs.append(np.array(keys, np.int64)[owner])
+            h, x, owner = window_hashes(texts, window, width)
+            found.append((h, x, np.array(keys, np.int64)[owner]))
             return len(h)
 
         for batch in batches:
             texts: list[bytes] = []
             keys: list[int] = []
             size = 0
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                texts.append((text or "").encode())
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                texts.append((text.as_py() or "").encode())
                 keys.append(key)
                 size += len(texts[-1])
                 if size >= CHUNK_BYTES:
@@ -165,7 +195,7 @@ def _sender(window: int, bits: int):
                     texts, keys, size = [], [], 0
                     if held >= FLUSH_WINDOWS:
                         yield from flush()
-                        hashes, docs, held = [], [], 0
+                        held = 0
             if texts:
                 held += take(texts, keys)
         if held:
@@ -174,44 +204,60 @@ def _sender(window: int, bits: int):
     return run
 
 
-def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks arrive sorted by bucket: one bucket at a time is held."""
-    now, hashes, docs = None, [], []
-
-    def settle() -> Iterator[pa.RecordBatch]:
-        if len(hashes) > 1:
-            h, d, first, least = _smallest(np.concatenate(hashes), np.concatenate(docs))
-            beaten = d > np.repeat(least, np.diff(np.r_[first, len(h)]))
-            if beaten.any():
-                yield pa.RecordBatch.from_arrays([pa.array(d[beaten]), pa.array(h[beaten].view(np.int64)), pa.nulls(int(beaten.sum()), pa.binary())], names=["key", "hash", "block"])
-
-    for batch in batches:
-        own: dict[str, list] = {"key": [], "hash": [], "block": []}
-        for bucket, key, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if key is not None:
-                own["key"].append(key)
-                own["hash"].append(None)
-                own["block"].append(block)
-                continue
-            if bucket != now:
-                yield from settle()
-                now, hashes, docs = bucket, [], []
-            h, d = _unpack(block)
-            hashes.append(h)
-            docs.append(d)
-        if own["key"]:
-            yield pa.RecordBatch.from_pydict(own, pa.schema([("key", pa.int64()), ("hash", pa.int64()), ("block", pa.binary())]))
-    yield from settle()
-
-
-def cut_words(text: str | None, marked: np.ndarray, window: int) -> tuple[list[bytes], np.ndarray]:
-    """The words of a text and a flag for each: whether a window with a hash in ``marked`` covers it."""
+def _counter(width: int):
+    """Blocks sorted by bucket -> (key, block): a document and records of its settled windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, found = None, []
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            if len(found) > 1:  # within one block nothing repeats
+                h, x, d, first, least = _smallest(*(np.concatenate(c) for c in zip(*found, strict=True)))
+                beaten = np.flatnonzero(d > np.repeat(least, np.diff(np.r_[first, len(h)])))
+                if len(beaten):
+                    beaten = beaten[np.argsort(d[beaten], kind="stable")]
+                    starts = _runs(d[beaten])
+                    block = _cut(_records(h[beaten], x[beaten], width), starts)
+                    yield from pa.Table.from_arrays([pa.array(d[beaten][starts], pa.int64()), block], names=["key", "block"]).to_batches(max_chunksize=20_000)
+
+        for batch in batches:
+            key = batch.column(1)
+            own = key.is_valid()
+            if own.true_count:
+                yield pa.RecordBatch.from_arrays([key.filter(own), batch.column(3).filter(own)], names=["key", "block"])
+            rest = batch.filter(key.is_null())
+            for bucket, packed, block in zip(rest.column(0).to_pylist(), rest.column(2).to_pylist(), rest.column(3).to_pylist(), strict=True):
+                if bucket != now:
+                    yield from settle()
+                    now, found = bucket, []
+                found.append(_unpack(block, width) if packed else _read(block, width, True))
+        yield from settle()
+
+    return run
+
+
+def _hit(hashes: np.ndarray, extra: np.ndarray, marked: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Which windows are among the marked ones, by both hashes."""
+    mh, mx = marked
+    order = np.lexsort((mx, mh))
+    mh, mx = mh[order], mx[order]
+    new = np.r_[True, (mh[1:] != mh[:-1]) | (mx[1:] != mx[:-1])]
+    mh, mx = mh[new], mx[new]
+    if (mh[1:] == mh[:-1]).any():  # two marks that only the second hash tells apart
+        known = set(zip(mh.tolist(), mx.tolist(), strict=True))
+        return np.fromiter((p in known for p in zip(hashes.tolist(), extra.tolist(), strict=True)), bool, len(hashes))
+    at = np.minimum(np.searchsorted(mh, hashes), len(mh) - 1)
+    return (mh[at] == hashes) & (mx[at] == extra)
+
+
+def cut_words(text: str | None, marked: tuple[np.ndarray, np.ndarray] | None, window: int, width: int = EXTRA) -> tuple[list[bytes], np.ndarray]:
+    """The words of a text and a flag for each: whether a window with hashes in ``marked`` covers it."""
     raw = (text or "").encode()
     words = raw.split()
     gone = np.zeros(len(words), bool)
-    if len(marked) and len(words) >= window:
-        hashes, _ = window_hashes([raw], window)
-        hit = np.flatnonzero(np.isin(hashes, marked))
+    if marked is not None and len(words) >= window:
+        hashes, extra, _ = window_hashes([raw], window, width)
+        hit = np.flatnonzero(_hit(hashes, extra, marked))
         edge = np.zeros(len(words) + 1, np.int64)
         np.add.at(edge, hit, 1)
         np.add.at(edge, hit + window, -1)
@@ -227,45 +273,49 @@ def _spans(gone: np.ndarray) -> list[dict[str, int]]:
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("removed", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("kept", pa.string())])
 
 
-def _applier(window: int, with_text: bool):
+def _applier(window: int, width: int, with_text: bool):
     schema = _RESULT if with_text else pa.schema(list(_RESULT)[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: dict[str, list] = {f.name: [] for f in schema}
-            for doc_id, text, single, blocks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                marked = [np.array(single, np.int64).view(_U)] if single else []
-                marked += [np.frombuffer(b, "<u8") for b in blocks or ()]
-                words, gone = cut_words(text, np.concatenate(marked) if marked else np.empty(0, _U), window)
-                kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if gone.any() else words)
-                row = {"doc_id": doc_id, "n_words": len(words), "n_removed": int(gone.sum()), "kept_sha256": hashlib.sha256(kept).hexdigest(), "removed": _spans(gone)}
-                if with_text:
-                    row["kept"] = kept.decode()
-                for k, v in row.items():
-                    out[k].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                out: dict[str, list] = {f.name: [] for f in schema}
+                for doc_id, text, blocks in zip(*(c.to_pylist() for c in whole.slice(at, 512).columns), strict=True):
+                    words, gone = cut_words(text, _read(b"".join(blocks), width, False)[:2] if blocks else None, window, width)
+                    kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if gone.any() else words)
+                    row = {"doc_id": doc_id, "n_words": len(words), "n_removed": int(gone.sum()), "kept_sha256": hashlib.sha256(kept).hexdigest(), "removed": _spans(gone)}
+                    if with_text:
+                        row["kept"] = kept.decode()
+                    for k, v in row.items():
+                        out[k].append(v)
+                yield pa.RecordBatch.from_pydict(out, schema)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = True, extra: int = EXTRA) -> DataFrame:
     """Drop the words that a window covers whose word sequence also starts in a smaller document.
 
     ``docs`` needs ``doc_id`` and ``text``; other columns are ignored, whatever their names. Result, one row a
     row: doc_id, n_words, n_removed, kept_sha256, removed (maximal intervals of word positions, end exclusive)
     and, unless ``with_text`` is false, kept (the words left, joined by one space).
 
-    Null and empty texts: no words, nothing removed. A null doc_id sorts after all others. Rows that share a
-    doc_id are one document's parts: they never remove each other's words, and a window settled for the id
-    goes from each of them. Texts of under ``window`` words keep all. An empty table gives an empty result.
+    Null and empty texts: no words, nothing removed. A null doc_id is taken as 2**63 - 2**60 and 60 bits of the text's
+    XXH64 (seed 42): such rows sort after all usual ids, equal ones are one document, and no key gathers them.
+    Rows that share a doc_id are one document's parts: they never remove each other's words, and a window settled for
+    the id goes from each of them. Texts of under ``window`` words keep all. An empty table gives an empty result.
+    ``extra``: bytes of the second hash.
     """
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), "text")
+    named = F.lit(NULL_IDS) + F.xxhash64("text").bitwiseAND(F.lit((1 << NULL_BITS) - 1))
+    key = F.coalesce(F.col("doc_id").cast("long"), named)
+    keyed = docs.select(key.alias("key"), "text")
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(6, int(np.ceil(np.log2(max(1, size / 6 / BUCKET_WINDOWS)))))
-    sent = keyed.mapInArrow(_sender(window, bits), "bucket long, key long, block binary")
-    settled = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_counter, "key long, hash long, block binary")
-    settled = stage_table(settled, "windows").groupBy("key").agg(F.collect_list("hash").alias("single"), F.collect_list("block").alias("blocks"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"))
-    joined = rows.join(settled, "key", "left").select("doc_id", "text", "single", "blocks")
+    bits = min(MAX_BITS, max(6, int(np.ceil(np.log2(max(1, size / 6 / BUCKET_WINDOWS))))))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (1 << bits) // PART_BUCKETS)
+    sent = keyed.mapInArrow(_sender(window, bits, extra), _SENT_DDL)
+    settled = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_counter(extra), "key long, block binary")
+    settled = settled.groupBy("key").agg(F.collect_list("block").alias("blocks"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", key.alias("key"))
+    joined = rows.join(settled, "key", "left").select("doc_id", "text", "blocks")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:int,end:int>>" + ", kept string" * with_text
-    return joined.mapInArrow(_applier(window, with_text), schema)
+    return joined.mapInArrow(_applier(window, extra, with_text), schema)
