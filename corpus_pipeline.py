@@ -1,11 +1,16 @@
-"""The corpus pipeline: five stages from ``documents`` to packed training sequences, each a table between."""
+"""The corpus pipeline: five stages from ``documents`` to packed training sequences, each a table between.
+
+Odd input: null and empty texts pass all stages (a document of theirs is the end id alone); of repeated rows that share
+the kept doc_id all stay, rows without a doc_id are kept; further columns come along up to the mixing. An empty
+table gives an empty result. Each stage's docstring says what it decides, its operator's the rest.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from waybill.llm import mixing, packing, secret_scan, simhash_cover, toxicity
-from waybill.llm.common import stage_table
+from waybill.llm.common import quoted, stage_table
 from waybill.llm.queries import THRESHOLD, tokenizer_path
 
 #: A source is repeated so often at most; the mixture is the least that shows every document once.
@@ -30,7 +35,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Smaller sources are repeated until the flattest weights that the repetition limit allows are met."""
-    return mixing.mix(docs, max_repeats=MAX_REPEATS).select(*docs.columns)
+    return mixing.mix(docs, max_repeats=MAX_REPEATS).select(*quoted(docs.columns))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
