@@ -33,7 +33,8 @@ _BASE = (("assign", _ASSIGN, 12, None), ("access", "AKIA[A-Z0-9]{14,}", 0, "AKIA
 _WEAK = (
     ("weak_access", "AKIA[A-Z0-9]{8,13}(?![A-Z0-9])|(?:ASIA|AROA|AIDA|AGPA|ANPA)[A-Z0-9]{12,}", 0, None),
     ("weak_secret", "(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/])", 0, None),
-    ("endpoint", r"""https?://[^\x20\x09-\x0D"'<>]{4,}|[A-Za-z0-9.-]{3,}\.(?:amazonaws\.com|googleapis\.com|windows\.net)""", 0, None),
+    # A host name begins where its letters do: else a long unbroken text would be read from each of its places.
+    ("endpoint", r"""https?://[^\x20\x09-\x0D"'<>]{4,}|(?<![A-Za-z0-9.-])[A-Za-z0-9.-]{3,}\.(?:amazonaws\.com|googleapis\.com|windows\.net)""", 0, None),
 )
 #: The order of kinds that start at the same place.
 KINDS = [k for k, *_ in (*_BASE, *_WEAK)]
