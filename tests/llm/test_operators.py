@@ -99,9 +99,6 @@ def test_windows_of_documents_without_id(spark):
 
 
 def test_second_hash_tells_windows_apart():
-    h, x = np.array([5, 5, 9], np.uint64), np.array([1, 2, 1], np.uint64)
-    assert window_dedup._hit(h, x, (np.array([5, 9], np.uint64), np.array([2, 2], np.uint64))).tolist() == [False, True, False]
-    assert window_dedup._hit(h, x, (np.array([5, 5], np.uint64), np.array([2, 1], np.uint64))).tolist() == [True, True, False]
     docs = np.array([3, 1, 2, 4, 0], np.int64)
     h, x = np.array([7, 7, 7, 7, 7], np.uint64), np.array([1, 2, 1, 2, 1], np.uint64)
     assert sorted(window_dedup._smallest(h, x, docs)[4].tolist()) == [0, 1]

@@ -11,12 +11,13 @@ Plan, for documents of any number:
    documents in byte planes, compressed; where a table is so large that a task has few windows a bucket, plain
    records cut out of one buffer without a call a block. The number of buckets follows the table's size, and the
    number of shuffle partitions that of buckets.
-3. Each bucket counts its hashes, finds the smallest document of each and returns (document, hashes) for the
-   entries that a smaller document beats.
+3. Each bucket counts its hashes, finds the smallest document of each and returns (document, first hash) for the
+   entries that a smaller document beats; within one document the first hash tells its windows apart.
 4. Documents meet their settled hashes in one join; marked windows merge into maximal intervals.
 
-Two different windows share all 64 + 16 bits with probability n**2 / 2**81 over a corpus of n windows (1e-7 for 1e9
-windows, the words of 5 GB; ``extra`` 4 gives n**2 / 2**97).
+Two different windows share all 64 + 8 bits with probability n**2 / 2**73 over a corpus of n windows (1e-4 for 1e9
+windows, the words of 5 GB). Each byte more of ``extra`` costs a byte a window in the shuffle and makes that 65,536
+times less: 4 bytes give n**2 / 2**97, next to nothing at 100 TB.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 WINDOW = 13
 #: Bytes of the second hash that are kept beside the first.
-EXTRA = 2
+EXTRA = 1
 #: Distinct windows that a bucket holds on average, buckets at most, windows a map task gathers before it sends them,
 #: bytes of text hashed at once, buckets a shuffle partition holds, and windows from which on a block is compressed.
 BUCKET_WINDOWS, MAX_BITS, FLUSH_WINDOWS, CHUNK_BYTES, PART_BUCKETS, PACK_FROM = 500_000, 22, 2_000_000, 2_000_000, 4, 64
@@ -79,13 +80,13 @@ def window_hashes(texts: list[bytes], window: int = WINDOW, extra: int = EXTRA)
     owner = np.repeat(np.arange(len(words)), sizes)
     whole = owner[:n] == owner[window - 1 :]
     found = []
-    for base in _BASES:
+    for base in _BASES[: 1 + (extra > 0)]:
         total = np.zeros(n, _U)
         for k in range(window):
             total *= base
             total += symbols[k : k + n]
         found.append(_mix(total[whole]))
-    return found[0], found[1] >> _U(64 - 8 * extra), owner[:n][whole]
+    return found[0], found[1] >> _U(64 - 8 * extra) if extra else np.zeros_like(found[0]), owner[:n][whole]
 
 
 def _order(hashes: np.ndarray, extra: np.ndarray) -> np.ndarray:
@@ -104,18 +105,18 @@ def _smallest(hashes: np.ndarray, extra: np.ndarray, docs: np.ndarray) -> tuple[
     return hashes, extra, docs, first, least
 
 
-def _records(hashes: np.ndarray, extra: np.ndarray, width: int, docs: np.ndarray | None = None) -> np.ndarray:
-    """Rows of bytes: hash, second hash, and the document where it is given."""
-    parts = [hashes.astype("<u8").view(np.uint8).reshape(-1, 8), np.ascontiguousarray(extra.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])]
-    return np.concatenate(parts + ([docs.astype("<i8").view(np.uint8).reshape(-1, 8)] if docs is not None else []), axis=1)
+def _records(hashes: np.ndarray, extra: np.ndarray, width: int, docs: np.ndarray) -> np.ndarray:
+    """Rows of bytes: hash, second hash, document."""
+    bytes_of = lambda a: np.ascontiguousarray(a).view(np.uint8).reshape(-1, 8)
+    return np.concatenate([bytes_of(hashes.astype("<u8")), bytes_of(extra.astype("<u8"))[:, :width], bytes_of(docs.astype("<i8"))], axis=1)
 
 
-def _read(raw: bytes, width: int, with_docs: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-    rows = np.frombuffer(raw, np.uint8).reshape(-1, 8 + width + 8 * with_docs)
+def _read(raw: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rows = np.frombuffer(raw, np.uint8).reshape(-1, 16 + width)
     whole = np.zeros((len(rows), 8), np.uint8)
     whole[:, :width] = rows[:, 8 : 8 + width]
-    docs = np.ascontiguousarray(rows[:, 8 + width :]).view("<i8").reshape(-1) if with_docs else None
-    return np.ascontiguousarray(rows[:, :8]).view("<u8").reshape(-1), whole.view("<u8").reshape(-1), docs
+    number = lambda a, kind: np.ascontiguousarray(a).view(kind).reshape(-1)
+    return number(rows[:, :8], "<u8"), number(whole, "<u8"), number(rows[:, 8 + width :], "<i8")
 
 
 def _pack(hashes: np.ndarray, extra: np.ndarray, width: int, docs: np.ndarray) -> bytes:
@@ -125,7 +126,7 @@ def _pack(hashes: np.ndarray, extra: np.ndarray, width: int, docs: np.ndarray) -
 
 def _unpack(blob: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(16 + width, -1)
-    deltas, extra, docs = _read(np.ascontiguousarray(planes.T).tobytes(), width, True)
+    deltas, extra, docs = _read(np.ascontiguousarray(planes.T).tobytes(), width)
     return np.cumsum(deltas, dtype=_U), extra, docs
 
 
@@ -163,11 +164,11 @@ def _sender(window: int, bits: int, width: int):
             beaten = np.flatnonzero(d > np.repeat(least, np.diff(np.r_[first, len(h)])))
             if len(beaten):
                 beaten = beaten[np.argsort(d[beaten], kind="stable")]
-                bh, bx, bd = h[beaten], x[beaten], d[beaten]
-                keep = np.r_[True, (bh[1:] != bh[:-1]) | (bx[1:] != bx[:-1]) | (bd[1:] != bd[:-1])]
-                bh, bx, bd = bh[keep], bx[keep], bd[keep]
+                bh, bd = h[beaten], d[beaten]
+                keep = np.r_[True, (bh[1:] != bh[:-1]) | (bd[1:] != bd[:-1])]
+                bh, bd = bh[keep], bd[keep]
                 starts = _runs(bd)
-                yield from _sent(bd[starts] & ((1 << bits) - 1), bd[starts], False, _cut(_records(bh, bx, width), starts))
+                yield from _sent(bd[starts] & ((1 << bits) - 1), bd[starts], False, _cut(bh.astype("<u8").view(np.uint8).reshape(-1, 8), starts))
             h, x = h[first], x[first]
             buckets = (h >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
             starts = _runs(buckets)
@@ -205,7 +206,7 @@ def _sender(window: int, bits: int, width: int):
 
 
 def _counter(width: int):
-    """Blocks sorted by bucket -> (key, block): a document and records of its settled windows."""
+    """Blocks sorted by bucket -> a document and the hash of a settled window, or the block of several."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, found = None, []
@@ -214,50 +215,32 @@ def _counter(width: int):
             if len(found) > 1:  # within one block nothing repeats
                 h, x, d, first, least = _smallest(*(np.concatenate(c) for c in zip(*found, strict=True)))
                 beaten = np.flatnonzero(d > np.repeat(least, np.diff(np.r_[first, len(h)])))
-                if len(beaten):
-                    beaten = beaten[np.argsort(d[beaten], kind="stable")]
-                    starts = _runs(d[beaten])
-                    block = _cut(_records(h[beaten], x[beaten], width), starts)
-                    yield from pa.Table.from_arrays([pa.array(d[beaten][starts], pa.int64()), block], names=["key", "block"]).to_batches(max_chunksize=20_000)
+                if n := len(beaten):
+                    yield from pa.Table.from_arrays([pa.array(d[beaten], pa.int64()), pa.array(h[beaten].view(np.int64)), pa.nulls(n, pa.binary())], names=["key", "hash", "block"]).to_batches(max_chunksize=20_000)
 
         for batch in batches:
             key = batch.column(1)
             own = key.is_valid()
             if own.true_count:
-                yield pa.RecordBatch.from_arrays([key.filter(own), batch.column(3).filter(own)], names=["key", "block"])
+                yield pa.RecordBatch.from_arrays([key.filter(own), pa.nulls(own.true_count, pa.int64()), batch.column(3).filter(own)], names=["key", "hash", "block"])
             rest = batch.filter(key.is_null())
             for bucket, packed, block in zip(rest.column(0).to_pylist(), rest.column(2).to_pylist(), rest.column(3).to_pylist(), strict=True):
                 if bucket != now:
                     yield from settle()
                     now, found = bucket, []
-                found.append(_unpack(block, width) if packed else _read(block, width, True))
+                found.append(_unpack(block, width) if packed else _read(block, width))
         yield from settle()
 
     return run
 
 
-def _hit(hashes: np.ndarray, extra: np.ndarray, marked: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Which windows are among the marked ones, by both hashes."""
-    mh, mx = marked
-    order = np.lexsort((mx, mh))
-    mh, mx = mh[order], mx[order]
-    new = np.r_[True, (mh[1:] != mh[:-1]) | (mx[1:] != mx[:-1])]
-    mh, mx = mh[new], mx[new]
-    if (mh[1:] == mh[:-1]).any():  # two marks that only the second hash tells apart
-        known = set(zip(mh.tolist(), mx.tolist(), strict=True))
-        return np.fromiter((p in known for p in zip(hashes.tolist(), extra.tolist(), strict=True)), bool, len(hashes))
-    at = np.minimum(np.searchsorted(mh, hashes), len(mh) - 1)
-    return (mh[at] == hashes) & (mx[at] == extra)
-
-
-def cut_words(text: str | None, marked: tuple[np.ndarray, np.ndarray] | None, window: int, width: int = EXTRA) -> tuple[list[bytes], np.ndarray]:
-    """The words of a text and a flag for each: whether a window with hashes in ``marked`` covers it."""
+def cut_words(text: str | None, marked: np.ndarray, window: int) -> tuple[list[bytes], np.ndarray]:
+    """The words of a text and a flag for each: whether a window whose first hash is in ``marked`` covers it."""
     raw = (text or "").encode()
     words = raw.split()
     gone = np.zeros(len(words), bool)
-    if marked is not None and len(words) >= window:
-        hashes, extra, _ = window_hashes([raw], window, width)
-        hit = np.flatnonzero(_hit(hashes, extra, marked))
+    if len(marked) and len(words) >= window:
+        hit = np.flatnonzero(np.isin(window_hashes([raw], window, 0)[0], marked))
         edge = np.zeros(len(words) + 1, np.int64)
         np.add.at(edge, hit, 1)
         np.add.at(edge, hit + window, -1)
@@ -273,15 +256,16 @@ def _spans(gone: np.ndarray) -> list[dict[str, int]]:
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("removed", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("kept", pa.string())])
 
 
-def _applier(window: int, width: int, with_text: bool):
+def _applier(window: int, with_text: bool):
     schema = _RESULT if with_text else pa.schema(list(_RESULT)[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 out: dict[str, list] = {f.name: [] for f in schema}
-                for doc_id, text, blocks in zip(*(c.to_pylist() for c in whole.slice(at, 512).columns), strict=True):
-                    words, gone = cut_words(text, _read(b"".join(blocks), width, False)[:2] if blocks else None, window, width)
+                for doc_id, text, single, blocks in zip(*(c.to_pylist() for c in whole.slice(at, 512).columns), strict=True):
+                    marked = np.frombuffer(np.array(single or (), "<i8").tobytes() + b"".join(blocks or ()), "<u8")
+                    words, gone = cut_words(text, marked, window)
                     kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if gone.any() else words)
                     row = {"doc_id": doc_id, "n_words": len(words), "n_removed": int(gone.sum()), "kept_sha256": hashlib.sha256(kept).hexdigest(), "removed": _spans(gone)}
                     if with_text:
@@ -313,9 +297,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = True
     bits = min(MAX_BITS, max(6, int(np.ceil(np.log2(max(1, size / 6 / BUCKET_WINDOWS))))))
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (1 << bits) // PART_BUCKETS)
     sent = keyed.mapInArrow(_sender(window, bits, extra), _SENT_DDL)
-    settled = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_counter(extra), "key long, block binary")
-    settled = settled.groupBy("key").agg(F.collect_list("block").alias("blocks"))
+    settled = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_counter(extra), "key long, hash long, block binary")
+    settled = settled.groupBy("key").agg(F.collect_list("hash").alias("single"), F.collect_list("block").alias("blocks"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", key.alias("key"))
-    joined = rows.join(settled, "key", "left").select("doc_id", "text", "blocks")
+    joined = rows.join(settled, "key", "left").select("doc_id", "text", "single", "blocks")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:int,end:int>>" + ", kept string" * with_text
-    return joined.mapInArrow(_applier(window, extra, with_text), schema)
+    return joined.mapInArrow(_applier(window, with_text), schema)
