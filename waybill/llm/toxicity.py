@@ -370,15 +370,15 @@ def _valued(names: list[str]):
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Weights (bias last) of the squared-hinge SVM, by Newton steps in the primal."""
-    a = np.c_[x, np.ones(len(x))]
+    a = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1)
     w = np.zeros(a.shape[1])
     keep = np.eye(len(w)) * ridge
     keep[-1, -1] = 1e-6
     for _ in range(30):
         live = y * (a @ w) < 1
-        al, c = a[live], weight[live][:, None]
+        al, c = a[live].astype(float), weight[live][:, None]
         new = np.linalg.solve(keep + al.T @ (al * c), al.T @ (c[:, 0] * y[live]))
-        if np.abs(new - w).max() < 1e-8:
+        if np.abs(new - w).max() < 1e-7:
             break
         w = new
     return w
@@ -445,7 +445,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> M
 
 
 def _matrix(lists: pa.ChunkedArray, width: int) -> np.ndarray:
-    return lists.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(float) if len(lists) else np.empty((0, width))
+    return lists.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width) if len(lists) else np.empty((0, width), np.float32)
 
 
 def _labelled(model: Model):
@@ -466,11 +466,13 @@ def _machine(names: list[str], negative: np.ndarray, count: np.ndarray, far: int
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
     units = sorted({u for s in sentences for u in s})
     index = {u: i for i, u in enumerate(units)}
-    z = landmarks.kernel(units) @ root
-    minus = np.vstack([negative @ root, np.zeros((1, len(names)))])
+    alike = landmarks.kernel(units)
+    z = alike @ root
+    # In single precision, as this is the largest thing here; the last row is that of units without any value.
+    minus = np.concatenate([negative @ root.astype(np.float32), np.zeros((1, len(names)), np.float32)])
     lost = np.r_[count, far].astype(float)
     bags = [np.array([index[u] for u in s]) for s in sentences]
-    f = landmarks.kernel(units).max(axis=1)  # to begin with: how near a landmark
+    f = alike.max(axis=1)  # to begin with: how near a landmark
     margin = np.inf
     w = np.zeros(len(names) + 1)
     _, doc = np.unique(np.array(docs), return_inverse=True)
@@ -482,7 +484,7 @@ def _machine(names: list[str], negative: np.ndarray, count: np.ndarray, far: int
         chosen[first] = True
         chosen |= f[top] > margin
         plus, n = np.unique(top[chosen], return_counts=True)
-        x = np.vstack([z[plus], minus])
+        x = np.concatenate([z[plus].astype(np.float32), minus])
         y = np.r_[np.ones(len(plus)), -np.ones(len(minus))]
         new = _svm(x, y, np.r_[n * min(balance, 4.0), lost])
         if np.abs(new - w).max() < 1e-6:
