@@ -211,3 +211,41 @@ def test_guard_blocks_before_the_step(spark):
     records: list = []
     StepGuard(asked, certificate=records).assert_batch(good)
     assert len(seen) == 1 and {r.status for r in records} == {"PASS"}
+
+
+def test_five_channels(spark):
+    """No number of channels is too many: two of five that are equal are found, five that differ pass."""
+    px = [float((7 * i + 31 * c) % 97) for i in range(16) for c in range(5)]
+    assert content(spark, px, c=5, require_distinct=True)[1].status == "PASS"
+    same = [px[i - 4] if i % 5 == 4 else v for i, v in enumerate(px)]
+    assert content(spark, same, c=5, require_distinct=True)[1].message == "channels collapse"
+
+
+def test_separability_scales_its_arms_and_needs_their_seeds(spark):
+    """Tensors in 0..1 and -1..1 are compared on 0..255; a seed that one arm lacks is an error; a null is not finite."""
+    one = lambda *v: spark.createDataFrame([(0, [float(x) for x in v])], "seed long, px array<double>")
+    got = separability(one(0, 0.5, 1), one(0, 0.25, 1)).first()
+    assert (got.max_abs, got.mae) == (63.75, 21.25)
+    assert separability(one(-1, 0, 1), one(0, 127.5, 255), declared="identical").first().status == "PASS"
+    with pytest.raises(ValueError, match="3 seeds are in one arm only"):
+        separability(arms(spark, 6), arms(spark, 3))
+    holed = spark.createDataFrame([(0, [1.0, None])], "seed long, px array<double>")
+    assert separability(holed, one(1, 2)).first().message == "non-finite values"
+
+
+def test_index_frames_that_show_none(spark):
+    """Noise, lost contrast, and whole numbers that only look like a range of 0..1."""
+    shown = fixtures.frames(spark, "index", 256, (16, 16)).where("frame_pos in (0, 1, 2, 100, 200)").orderBy("frame_pos")
+    ids = lambda px, floating=True: [r[0] for r in shown.select(stats.decode_index(px, floating)).collect()]
+    noisy = F.transform("px", lambda v, j: v + F.when(j % 2 == 0, 5.0).otherwise(-5.0))
+    assert ids(noisy) == ids(F.transform("px", lambda v: v * 0.6)) == [None] * 5
+    flat = F.transform("px", lambda v: v * 0 + 1)
+    assert ids(flat) == [255] * 5 and ids(flat, False) == [1] * 5
+    assert ids(F.transform("px", lambda v: v * 0 - 3)) == [-3] * 5 and ids(F.transform("px", lambda v: F.lit(None).cast("double"))) == [None] * 5
+
+
+def test_content_hash(spark):
+    import hashlib
+
+    row = spark.createDataFrame([([0.4, 254.6, 300.0, -2.0, 16.5],)], "px array<double>").select(stats.content_hash(F.col("px"))).first()
+    assert row[0] == hashlib.sha256(bytes([0, 255, 255, 0, 16])).hexdigest()[:16]

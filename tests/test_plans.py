@@ -148,3 +148,36 @@ def test_query_against_sql(spark, name):
 
     want = sorted((plain(r) for r in got.fetchall()), key=repr)
     assert sorted((plain(r) for r in frame.select(*names).collect()), key=repr) == want
+
+
+def test_audit_gives_every_gate_a_record(spark):
+    """A subject that delivered and called nothing is SKIP under every gate that applies, and never PASS."""
+    from waybill.contracts import LOADER_OUTPUT, OBSERVATIONS, ContentContract, Declaration, StreamContract, contracts_frame
+    from waybill.plans import audit
+
+    contract = ContentContract(StreamContract(lo=0.0, hi=255.0, channels=1), StreamContract(lo=0.0, hi=255.0, channels=1))
+    frame = lambda stream, draw, pos: ("here", LOADER_OUTPUT, 0, draw, stream, pos, None, 1, 4, 1, "uint8", [0.0, 1.0, 2.0, 255.0])
+    seen = spark.createDataFrame([frame(s, d, p) for s in ("lq", "gt") for d in (0, 1) for p in range(2)], OBSERVATIONS)
+    calls = spark.createDataFrame([("here", 0, 0, 0, "a"), ("here", 0, 1, 0, "b")], "subject string, seed long, draw int, call_pos int, name string")
+    declared = [Declaration(s, num_frames=2, use_precomputed=True, operator_policy="random_permutation", content=contract) for s in ("here", "gone")]
+    shapes = spark.createDataFrame([("here", 4, 4, 8, 8)], "subject string, dh int, dw int, eh int, ew int")
+    steps = spark.createDataFrame([("here", "geometry", 32, False, None), ("here", "geometry", 64, True, "PASS"), ("here", "value_range", 32, False, None)], "subject string, gate string, length int, ok boolean, status string")
+    ask = lambda **k: {(r.subject, r.gate): r for r in audit.audit(seen, calls, contracts_frame(spark, {"here": contract, "gone": contract}), declared, ("a", "b"), "sharpen", **k).collect()}
+    got = ask()
+    assert len(got) == 12 and {r.status for (s, _), r in got.items() if s == "gone"} == {"SKIP"}
+    assert got["here", "operator_trace"].status == got["here", "value_range"].status == "PASS"
+    results = audit.audit(seen.where("false"), calls.where("false"), contracts_frame(spark, {"gone": contract}), declared[1:], ("a",), "sharpen", shapes)
+    assert results.count() == 7 and audit.verdicts(results).first().status == "INCONCLUSIVE"
+    stepped = ask(shapes=shapes, lengths=steps)
+    assert stepped["here", "geometry"].status == "UNDECL" and '"underlying_status":"PASS"' in stepped["here", "geometry"].evidence
+    assert stepped["here", "value_range"].status == "ERROR" and stepped["gone", "geometry"].status == "SKIP" and len(audit.ALL_CHECKS) == 8
+
+
+def test_portability_summary(spark):
+    from waybill.plans import reports
+
+    rows = [("a", "RUN", 47, 0.5, 0, 1), ("b", "PARTIAL", 89, 0.9, 2, 0), ("c", "UNAVAILABLE", None, None, None, None), ("d", "GATE_ERROR", 9, 9.0, 9, 9), ("e", "ADAPTER_ERROR", None, None, None, None)]
+    table = spark.createDataFrame(rows, "subject string, outcome string, adapter_loc long, adapter_seconds double, gates_failed long, gates_undecl long")
+    got = reports.portability_summary(table, spark.range(12)).first()
+    assert (got.subjects_registered, got.subjects_run, got.subjects_unavailable, got.subjects_partial, got.subjects_adapter_error) == (5, 2, ["c"], ["b"], ["d", "e"])
+    assert (got.median_adapter_loc, got.min_adapter_loc, got.max_adapter_loc, got.max_adapter_seconds, got.total_failures, got.total_undeclared, got.gate_rows, got.clip_escalation) == (89, 47, 89, 0.9, 2, 1, 12, 1)

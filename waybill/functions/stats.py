@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -49,6 +50,15 @@ def least_channel_mae(px: Column, channels: int) -> Column:
     return F.lit(0.0) if not pairs else F.least(*pairs) if len(pairs) > 1 else pairs[0]
 
 
+def least_mae_of_frame(px: Column, channels: Column) -> Column:
+    """The least mean absolute difference of two channels of a frame, whatever their number; 0 where there is no pair."""
+    n = F.floor(F.size(px) / channels).cast("int")
+    at = lambda i, c: F.get(px, i * channels + c)
+    mae = lambda a, b: F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda acc, i: acc + F.abs(at(i, a) - at(i, b))) / n
+    pairs = F.flatten(F.transform(F.sequence(F.lit(1), channels - 1), lambda b: F.transform(F.sequence(F.lit(0), b - 1), lambda a: mae(a, b))))
+    return F.when((channels > 1) & (n > 0), F.array_min(pairs)).otherwise(F.lit(0.0))
+
+
 def deltas(a: Column, b: Column) -> Column:
     """Absolute differences of two tensors of equal size."""
     return F.zip_with(a, b, lambda x, y: F.abs(x - y))
@@ -65,27 +75,43 @@ def aspect_error(dh: Column, dw: Column, eh: Column, ew: Column) -> Column:
     return F.abs(dw / dh - ew / eh) / (ew / eh)
 
 
-def upper_median(x: Column) -> Column:
-    """The upper of the two middle values where their number is even."""
-    values = F.sort_array(F.collect_list(x))
-    return F.get(values, F.floor(F.size(values) / 2).cast("int"))
+def upper_median(table: DataFrame, by: str) -> float | None:
+    """The upper of the two middle values of a column where their number is even: read from counts of the distinct
+    values, so that no task holds all of them."""
+    counts = table.where(F.col(by).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if not total:
+        return None
+    upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy(by)))
+    return upto.where(F.col("upto") > total // 2).agg(F.min(by)).first()[0]
+
 
+#: How near a level a value is, and the share of values that are an anchor or the number (fixed values).
+LEVEL_TOLERANCE, LEVEL_SHARE = 2.0, 0.98
 
-def decode_index(px: Column, tolerance: float = 6.0, agree: float = 0.98) -> Column:
+
+def decode_index(px: Column, floating: Column | bool = True, tolerance: float = LEVEL_TOLERANCE, agree: float = LEVEL_SHARE) -> Column:
     """The frame number that an index frame shows, null where it shows none.
 
-    The tensor is brought to 0..255 first. Without anchors (a dark and a light extreme) the number is the mean, if the
-    frame is flat within the tolerance. With anchors values are rescaled by them, the number is the median, and it
-    counts only within 0..255 and where nearly all values are an anchor or the number.
+    ``floating``: the values come from a floating-point tensor; then ones within 0..1 are scaled by 255, and ones within
+    -1..1 from there. Whole numbers are levels already. Without anchors (values within the tolerance of 0 and of 255)
+    the number is the mean, if the frame is flat within the tolerance. With them it is the median, and counts only
+    within 0..255 and where nearly all values are within the tolerance of an anchor or the number.
     """
     n = F.size(px)
+    real = F.lit(floating) if isinstance(floating, bool) else floating
+
+    def levels(px: Column) -> Column:
+        top, least = F.array_max(px), F.array_min(px)
+        small = real & (top <= 1 + 1e-6)
+        return F.when(small & (least >= -1e-6), F.transform(px, lambda v: v * 255)).when(small & (least >= -1 - 1e-6), F.transform(px, lambda v: (v + 1) * 127.5)).otherwise(px)
 
-    def read(full: Column, lo: Column, hi: Column) -> Column:
+    def read(full: Column) -> Column:
         mean = F.aggregate(full, F.lit(0.0), lambda acc, v: acc + v) / n
         spread = let(mean, lambda m: F.sqrt(F.aggregate(full, F.lit(0.0), lambda acc, v: acc + (v - m) * (v - m)) / n))
-        plain = F.when((spread <= tolerance) & (mean >= -0.5) & (mean < 255.5), F.bround(mean).cast("int"))
-        scaled = F.array_sort(F.transform(full, lambda v: (v - lo) / (hi - lo) * 255))
-        return F.when(hi - lo < 128, plain).otherwise(let(scaled, anchored))
+        plain = F.when(spread <= tolerance, F.bround(mean).cast("int"))
+        anchors = F.exists(full, lambda v: F.abs(v) <= tolerance) & F.exists(full, lambda v: F.abs(v - 255) <= tolerance)
+        return F.when(~anchors, plain).otherwise(let(F.array_sort(full), anchored))
 
     def anchored(ordered: Column) -> Column:
         middle = (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2
@@ -96,5 +122,10 @@ def decode_index(px: Column, tolerance: float = 6.0, agree: float = 0.98) -> Col
 
         return let(F.bround(middle), count)
 
-    found = let(to_255(px), lambda full: let(F.array_min(full), lambda lo: let(F.array_max(full), lambda hi: read(full, lo, hi))))
-    return F.when((n <= 0) | n.isNull() | F.exists(px, F.isnan), None).otherwise(found)
+    return F.when((n <= 0) | n.isNull() | F.exists(px, lambda v: v.isNull() | non_finite(v)), None).otherwise(let(levels(px), read))
+
+
+def content_hash(px: Column) -> Column:
+    """The first 16 digits of the SHA-256 of a frame's values as rounded bytes, in order."""
+    digits = F.array_join(F.transform(px, lambda v: F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), F.bround(v).cast("int"))).cast("long")), 2, "0")), "")
+    return F.substring(F.sha2(F.unhex(digits), 256), 1, 16)

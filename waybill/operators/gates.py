@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from ..contracts import LOADER_OUTPUT, StreamContract
 from ..functions import stats
 
+#: Clip lengths tried in turn, and the least share of values near either end of a checkerboard (fixed values).
 ESCALATION = (16, 32, 64, 100, 200)
 BIMODAL_SHARE = 0.80
 
@@ -91,14 +92,10 @@ def channel_status(rows: DataFrame) -> DataFrame:
     return rows.withColumn("message", message).withColumn("status", status)
 
 
-def channel_content(observations: DataFrame, contracts: DataFrame, most_channels: int = 4) -> DataFrame:
+def channel_content(observations: DataFrame, contracts: DataFrame) -> DataFrame:
     """Channel gate over observed frames: every frame's number of channels, and the least mean difference of two
-    channels over all frames."""
-    px = F.col("px")
-    mae = F.lit(0.0)
-    for c in range(2, most_channels + 1):
-        mae = F.when(F.col("c") == c, stats.least_channel_mae(px, c)).otherwise(mae)
-    frames = observations.select("subject", "boundary", "stream", "c", mae.alias("mae"))
+    channels over all frames, of any number of channels."""
+    frames = observations.select("subject", "boundary", "stream", "c", stats.least_mae_of_frame(F.col("px"), F.col("c")).alias("mae"))
     asked = contracts.select("subject", "stream", "channels", "require_distinct", "channel_atol")
     seen = frames.join(asked, ["subject", "stream"]).groupBy("subject", "boundary", "stream").agg(F.count(F.lit(1)).alias("n_frames"), F.count_if(F.col("c") != F.col("channels")).alias("n_wrong"), F.min("mae").alias("least_mae"))
     at = observations.select("subject", "boundary").distinct()
@@ -107,12 +104,16 @@ def channel_content(observations: DataFrame, contracts: DataFrame, most_channels
 
 def channels_of_column(table: DataFrame, column: str, channels: int, watched: int, atol: float, subject: str) -> DataFrame:
     """Channel gate over an array column whose elements are channels and whose rows are pixels of one frame: the
-    number of channels of every row, and the least mean difference of the first ``watched``."""
-    x = lambda i: F.get(F.col(column), F.lit(i)).cast("double")
-    pairs = [(a, b) for a in range(watched) for b in range(a + 1, watched)]
-    sums = [F.avg(F.abs(x(a) - x(b))).alias(f"m{a}_{b}") for a, b in pairs]
-    got = table.agg(F.count(F.lit(1)).alias("n_frames"), F.count_if(F.size(column) != channels).alias("n_wrong"), *sums)
-    least = F.least(*(F.col(f"m{a}_{b}") for a, b in pairs)) if len(pairs) > 1 else F.col("m0_1") if pairs else F.lit(0.0)
+    number of channels of every row, and the least mean difference of any two of the first ``watched``. Differences are
+    summed by pair within each task first, so that a few thousand sums a task are shuffled."""
+    x = F.transform(F.slice(F.col(column), 1, watched), lambda v: v.cast("double"))
+    got = table.agg(F.count(F.lit(1)).alias("n_frames"), F.count_if(F.size(column) != channels).alias("n_wrong"))
+    least = F.lit(0.0)
+    if watched > 1:
+        pairs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(watched - 1)), lambda b: F.transform(F.sequence(F.lit(0), b - 1), lambda a: F.abs(F.get("x", a) - F.get("x", b)))))
+        means = table.select(x.alias("x")).select(F.posexplode(pairs).alias("pair", "d")).groupBy("pair").agg(F.avg("d").alias("mae"))
+        got = got.crossJoin(means.agg(F.min("mae").alias("least")))  # one row beside one row
+        least = F.col("least")
     rows = got.select(F.lit(subject).alias("subject"), "n_frames", "n_wrong", least.alias("least_mae"), F.lit(channels).alias("channels"), F.lit(watched > 1).alias("require_distinct"), F.lit(atol).alias("channel_atol"))
     return channel_status(rows).select("subject", "status", "message", "n_frames", "n_wrong", "least_mae")
 
@@ -120,8 +121,10 @@ def channels_of_column(table: DataFrame, column: str, channels: int, watched: in
 # Sampling windows -------------------------------------------------------------------------------------------------
 
 
-def temporal_window(delivered: DataFrame, num_frames: int, clip_length: int) -> DataFrame:
+def temporal_window(delivered: DataFrame, num_frames: int, clip_length: int | None = None, clips: DataFrame | None = None) -> DataFrame:
     """Window gate. delivered: subject, draw, pos, frame_id (null where undecodable), claimed_id (null: no claim).
+    Clips are of one length, or of each subject's own (``clips``: subject, clip_length), and then every subject of
+    ``clips`` gets a row.
 
     In this order: no probe SKIP; windows of one frame N/A; first probe of another length; all probes one window
     that starts the clip (prefix); all probes one window (inert); first claim differs from what came; else PASS.
@@ -137,12 +140,13 @@ def temporal_window(delivered: DataFrame, num_frames: int, clip_length: int) ->
     )
     covered = delivered.groupBy("subject").agg(F.count_distinct("frame_id").alias("n_ids"))
     rows = seen.join(covered, "subject")
+    rows = rows.withColumn("clip_length", F.lit(clip_length)) if clips is None else clips.join(rows, "subject", "left")
     prefix = F.coalesce(F.col("first_ids") == F.sequence(F.lit(0), F.lit(max(0, num_frames - 1))).cast("array<int>"), F.lit(False))
     one = F.col("n_windows") == 1
     mismatch = F.col("first_claims").isNotNull() & ~F.coalesce(F.col("first_claims").eqNullSafe(F.col("first_ids")), F.lit(False))
-    reason = F.when(F.lit(num_frames <= 1), "a window of one frame").when(F.col("first_length") != num_frames, "length").when(one & prefix, "prefix").when(one, "inert").when(mismatch, "mismatch").otherwise("")
-    status = F.when(reason == "a window of one frame", "N/A").when(reason != "", "FAIL").otherwise("PASS")
-    return rows.select("subject", status.alias("status"), reason.alias("message"), "n_probes", "n_windows", "n_ids", F.round(F.col("n_ids") / F.lit(clip_length), 4).alias("coverage"), one.alias("exhaustive"))
+    reason = F.when(F.col("n_probes").isNull(), "no probe").when(F.lit(num_frames <= 1), "a window of one frame").when(F.col("first_length") != num_frames, "length").when(one & prefix, "prefix").when(one, "inert").when(mismatch, "mismatch").otherwise("")
+    status = F.when(reason == "no probe", "SKIP").when(reason == "a window of one frame", "N/A").when(reason != "", "FAIL").otherwise("PASS")
+    return rows.select("subject", status.alias("status"), reason.alias("message"), "n_probes", "n_windows", "n_ids", F.round(F.col("n_ids") / F.col("clip_length"), 4).alias("coverage"), one.alias("exhaustive"))
 
 
 # Target transforms ------------------------------------------------------------------------------------------------

@@ -14,16 +14,23 @@ from pyspark.sql.window import Window
 
 from ..functions import stats
 
-EXACT_PAIRS, TIE = 16, 1e-12
+#: Pairs an exact test takes at most; energies (on 0..255) that count as equal.
+EXACT_PAIRS, TIE = 16, 1e-9
+
+
+def _scaled(arm: DataFrame, name: str) -> DataFrame:
+    """seed and its tensor, brought to 0..255 by its own range."""
+    return arm.select("seed", stats.to_255(F.col("px")).alias(name))
 
 
 def matched_deltas(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Arms (seed, px) by seed: max_abs, mae, whether values are finite and sizes equal, both sizes."""
-    both = a.select("seed", F.col("px").alias("x")).join(b.select("seed", F.col("px").alias("y")), "seed")
-    bad = lambda c: F.exists(c, stats.non_finite)
+    """Arms (seed, px) by seed: max_abs, mae, whether values are finite and sizes equal, both sizes, whether both arms
+    have the seed. Arms are compared on 0..255; null values count as not finite."""
+    both = _scaled(a, "x").join(_scaled(b, "y"), "seed", "full")
+    bad = lambda c: F.coalesce(F.exists(c, lambda v: v.isNull() | stats.non_finite(v)), F.lit(True))
     delta = stats.deltas(F.col("x"), F.col("y"))
     same = F.size("x") == F.size("y")
-    return both.select("seed", F.size("x").alias("nx"), (~bad("x") & ~bad("y")).alias("finite"), same.alias("same_size"), F.when(same, F.array_max(delta)).alias("max_abs"), F.when(same, F.aggregate(delta, F.lit(0.0), lambda s, v: s + v) / F.size("x")).alias("mae"))
+    return both.select("seed", (F.col("x").isNotNull() & F.col("y").isNotNull()).alias("matched"), F.size("x").alias("nx"), (~bad("x") & ~bad("y")).alias("finite"), same.alias("same_size"), F.when(same, F.array_max(delta)).alias("max_abs"), F.when(same, F.aggregate(delta, F.lit(0.0), lambda s, v: s + v) / F.size("x")).alias("mae"))
 
 
 def pair_matrix(a: DataFrame, b: DataFrame, block: int = 4096) -> DataFrame:
@@ -32,7 +39,7 @@ def pair_matrix(a: DataFrame, b: DataFrame, block: int = 4096) -> DataFrame:
     Tensors are cut into blocks of ``block`` values: a block's squared differences are summed beside each other and
     only sums are shuffled, so no task holds more than the pairs' values of a few blocks however large tensors are.
     """
-    pairs = a.select("seed", F.col("px").alias("x")).join(b.select("seed", F.col("px").alias("y")), "seed")
+    pairs = _scaled(a, "x").join(_scaled(b, "y"), "seed")
     numbered = pairs.select("seed").distinct().withColumn("i", (F.row_number().over(Window.orderBy("seed")) - 1).cast("int"))
     cut = pairs.join(numbered, "seed").select("i", F.size("x").alias("n"), "x", "y", F.explode(F.sequence(F.lit(0), F.floor((F.size("x") - 1) / block).cast("int"))).alias("k"))
     cut = cut.select("i", "n", "k", *(F.slice(c, F.col("k") * block + 1, F.lit(block)).alias(c) for c in ("x", "y")))
@@ -76,6 +83,7 @@ def energy_test(matrix: DataFrame, n: int, permutations: int | None = None, seed
 def separability(a: DataFrame, b: DataFrame, declared: str = "distinct", tol: float = 1e-6, distributional: bool = False, alpha: float = 0.05, min_effect: float = 0.0, permutations: int | None = 4095, permutation_seed: int = 0, subject: str = "") -> DataFrame:
     """Gate over two arms (seed, px), one row: status, message, max_abs, mae, n_over, p_value, effect.
 
+    Arms are brought to 0..255 first, each tensor by its own range. A seed that one arm alone has is an error.
     In this order: non-finite FAIL; shapes differ PASS if declared distinct, else FAIL; declared identical: any delta over
     ``tol`` FAIL, else PASS; all deltas within ``tol`` FAIL (unexpected equality, no p-value); not distributional
     PASS; sizes vary with the seed FAIL; PASS if p <= alpha and effect > min_effect, else FAIL, which does not show
@@ -86,12 +94,14 @@ def separability(a: DataFrame, b: DataFrame, declared: str = "distinct", tol: fl
     if not 0 < alpha < 1 or (permutations is not None and permutations < 99):
         raise ValueError("alpha lies within 0 and 1, and permutations are 99 or more")
     seen = matched_deltas(a, b).agg(
-        F.count(F.lit(1)).alias("n_seeds"), F.bool_and("finite").alias("finite"), F.bool_and("same_size").alias("same_size"), F.max("max_abs").alias("max_abs"), F.avg("mae").alias("mae"), F.count_if(F.col("max_abs") > tol).alias("n_over"), F.count_distinct("nx").alias("sizes"),
+        F.count(F.lit(1)).alias("n_seeds"), F.count_if(~F.col("matched")).alias("n_lone"), F.bool_and("finite").alias("finite"), F.bool_and("same_size").alias("same_size"), F.max("max_abs").alias("max_abs"), F.avg("mae").alias("mae"), F.count_if(F.col("max_abs") > tol).alias("n_over"), F.count_distinct("nx").alias("sizes"),
     )
     first = seen.first()
     n = int(first["n_seeds"])
     if n == 0:
         raise ValueError("no seed is in both arms")
+    if first["n_lone"]:
+        raise ValueError(f"{first['n_lone']} seeds are in one arm only")
     if distributional and n < 4:
         raise ValueError("a distributional test needs four seeds")
     wanted = distributional and declared == "distinct" and first["finite"] and first["same_size"] and first["n_over"] > 0 and first["sizes"] == 1

@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..contracts import StreamContract
+from ..contracts import LOADER_OUTPUT, ContentContract, Declaration, StreamContract, contracts_frame
 from ..functions import stats
 from ..functions.status import fold, verdict
 from ..operators import gates, separability
 from ..sources import fixtures
-from . import defects, reports
+from . import audit, defects, reports
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -117,8 +117,7 @@ def pages_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _channel_sql(vector: str, channels: int, watched: int, atol: float, subject: str) -> str:
-    pairs = [f"avg(abs(x[{a + 1}]::DOUBLE - x[{b + 1}]::DOUBLE))" for a in range(watched) for b in range(a + 1, watched)]
-    least = f"least({', '.join(pairs)})" if len(pairs) > 1 else (pairs or ["0.0"])[0]
+    least = f"(SELECT min(mae) FROM (SELECT avg(abs(x[a]::DOUBLE - x[b]::DOUBLE)) mae FROM (SELECT {vector} x FROM embeddings) CROSS JOIN range(1, {watched + 1}) r(a) CROSS JOIN range(1, {watched + 1}) q(b) WHERE a < b GROUP BY a, b))" if watched > 1 else "0.0"
     return f"""WITH s AS (SELECT count(*) n_frames, count(*) FILTER (WHERE len(x) <> {channels}) n_wrong, ({least})::DOUBLE least_mae FROM (SELECT {vector} x FROM embeddings)),
     d AS (SELECT *, {str(watched > 1).lower()} AND least_mae <= {atol} collapsed FROM s)
     SELECT '{subject}' subject, CASE WHEN n_frames = 0 OR n_wrong > 0 OR collapsed THEN 'FAIL' ELSE 'PASS' END status, CASE WHEN n_frames = 0 THEN 'absent or empty' WHEN n_wrong > 0 THEN 'another number of channels' WHEN collapsed THEN 'channels collapse' ELSE '' END message, n_frames, n_wrong, round(least_mae, 6) least_mae FROM d"""
@@ -133,30 +132,35 @@ def channel_count_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _channel_rows(gates.channels_of_column(_t(spark, sf_dir, "embeddings"), "embedding", 64, 1, 1e-5, "embeddings"))
 
 
-@query(_channel_sql("embedding", 64, 3, 1e-5, "embeddings_rgb"))
+@query(_channel_sql("embedding", 64, 64, 1e-5, "embeddings_rgb"))
 def channel_content_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _channel_rows(gates.channels_of_column(_t(spark, sf_dir, "embeddings"), "embedding", 64, 3, 1e-5, "embeddings_rgb"))
+    """All pairs of all 64 components."""
+    return _channel_rows(gates.channels_of_column(_t(spark, sf_dir, "embeddings"), "embedding", 64, 64, 1e-5, "embeddings_rgb"))
 
 
-@query(_channel_sql("[(embedding[1]::DOUBLE + embedding[2]::DOUBLE + embedding[3]::DOUBLE) / 3, (embedding[1]::DOUBLE + embedding[2]::DOUBLE + embedding[3]::DOUBLE) / 3, (embedding[1]::DOUBLE + embedding[2]::DOUBLE + embedding[3]::DOUBLE) / 3]", 3, 3, 1e-5, "embeddings_grey"))
+@query(_channel_sql("list_transform(range(64), lambda i: CASE WHEN i = 63 THEN embedding[1] ELSE embedding[i + 1] END)", 64, 64, 1e-5, "embeddings_grey"))
 def channel_collapse_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = lambda i: F.get("embedding", F.lit(i)).cast("double")
-    grey = _t(spark, sf_dir, "embeddings").select(F.array_repeat((x(0) + x(1) + x(2)) / 3, 3).alias("embedding"))
-    return _channel_rows(gates.channels_of_column(grey, "embedding", 3, 3, 1e-5, "embeddings_grey"))
+    """The last component is made the first: one pair of 2016 collapses."""
+    grey = _t(spark, sf_dir, "embeddings").select(F.transform("embedding", lambda v, i: F.when(i == 63, F.get("embedding", F.lit(0))).otherwise(v)).alias("embedding"))
+    return _channel_rows(gates.channels_of_column(grey, "embedding", 64, 64, 1e-5, "embeddings_grey"))
 
 
 # Separability -----------------------------------------------------------------------------------------------------
 
 
-def _arm(spark: SparkSession, sf_dir: str, label: int, shift: float = 0.0, pairs: int = 10) -> DataFrame:
-    """The first vectors of a label as seeds 0..: a statistic of matched pairs takes so many pairs by definition."""
-    by = Window.orderBy("vec_id")
-    top = _t(spark, sf_dir, "embeddings").where(F.col("label") == label).orderBy("vec_id").limit(pairs)
-    return top.select((F.row_number().over(by) - 1).cast("long").alias("seed"), F.transform("embedding", lambda v: v.cast("double") + shift).alias("px"))
+def _arm(spark: SparkSession, sf_dir: str, label: int, shift: float = 0.0, seeds: int = 10) -> DataFrame:
+    """An arm of all vectors of a label: a seed's tensor is the mean of those whose id leaves it as remainder."""
+    own = _t(spark, sf_dir, "embeddings").where(F.col("label") == label).select(F.pmod("vec_id", F.lit(seeds)).cast("long").alias("seed"), F.posexplode("embedding").alias("i", "v"))
+    means = own.groupBy("seed", "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
+    return means.groupBy("seed").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("px")).select("seed", F.transform("px", lambda x: x["m"] + shift).alias("px"))
 
 
 def _arms_sql(b_label: int, shift: float) -> str:
-    one = lambda label, add: f"SELECT row_number() OVER (ORDER BY vec_id) - 1 seed, list_transform(embedding, lambda v: v::DOUBLE + {add!r}) px FROM embeddings WHERE label = {label} QUALIFY row_number() OVER (ORDER BY vec_id) <= 10"
+    def one(label: int, add: float) -> str:
+        raw = f"SELECT seed, list(m + {add!r} ORDER BY i) px FROM (SELECT vec_id % 10 seed, i, avg(embedding[i]::DOUBLE) m FROM embeddings CROSS JOIN range(1, 65) r(i) WHERE label = {label} GROUP BY 1, 2) GROUP BY 1"
+        scale = "CASE WHEN list_max(px) <= 1.000001 AND list_min(px) >= -0.000001 THEN list_transform(px, lambda v: v * 255) WHEN list_max(px) <= 1.000001 THEN list_transform(px, lambda v: (v + 1) * 127.5) ELSE px END"
+        return f"SELECT seed, {scale} px FROM ({raw})"
+
     return f"a AS MATERIALIZED ({one(0, 0.0)}), b AS MATERIALIZED ({one(b_label, shift)})"
 
 
@@ -173,7 +177,7 @@ def _separability_sql(b_label: int, shift: float, subject: str, declared: str, d
     m AS MATERIALIZED (SELECT x.seed i, y.seed j, {dist("x.xp", "y.xp")} + {dist("x.yp", "y.yp")} - {dist("x.xp", "y.yp")} - {dist("x.yp", "y.xp")} m FROM (SELECT a.seed, a.px xp, b.px yp FROM a JOIN b USING (seed)) x CROSS JOIN (SELECT a.seed, a.px xp, b.px yp FROM a JOIN b USING (seed)) y),
     k AS (SELECT range k FROM range({draws})), s AS (SELECT k, i, {sign} s FROM k CROSS JOIN (SELECT DISTINCT i FROM m)),
     e AS (SELECT s1.k, -sum(m.m * s1.s * s2.s) / 100 e FROM m JOIN s s1 ON m.i = s1.i JOIN s s2 ON m.j = s2.i AND s1.k = s2.k GROUP BY s1.k),
-    o AS (SELECT -sum(m) / 100 effect FROM m), t AS (SELECT any_value(effect) effect, count(*) FILTER (WHERE e >= effect - 1e-12) exceed, count(*) n_draws FROM e CROSS JOIN o)
+    o AS (SELECT -sum(m) / 100 effect FROM m), t AS (SELECT any_value(effect) effect, count(*) FILTER (WHERE e >= effect - 1e-9) exceed, count(*) n_draws FROM e CROSS JOIN o)
     SELECT '{subject}' subject, CASE WHEN {p} <= 0.05 AND effect > 0 THEN 'PASS' ELSE 'FAIL' END status, CASE WHEN {p} <= 0.05 AND effect > 0 THEN 'distributions differ' ELSE 'no difference shown; not proof of equality' END message,
     n_seeds, round(max_abs, 6) max_abs, round(mae, 6) mae, n_over, round(effect, 6) effect, exceed, n_draws, round({p}, 6) p_value FROM ds CROSS JOIN t"""
 
@@ -205,59 +209,69 @@ def separability_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Sampling windows -------------------------------------------------------------------------------------------------
 
-_CLIP, _PROBES = 40, 8
+_PROBES = 8
+
+
+def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "events").select("user_id", (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("int").alias("frame"))
+
+
+def _clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """subject, clip_length: every user is a clip of its own events."""
+    return _t(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("clip_length")).select(F.col("user_id").cast("string").alias("subject"), "clip_length")
 
 
 def _windows(spark: SparkSession, sf_dir: str, start=None, length: int = 5) -> DataFrame:
-    """Every user is a clip, an event's rank its frame; probes are windows at places that an MD5 decides."""
-    ranked = _t(spark, sf_dir, "events").select("user_id", (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("int").alias("frame"))
-    clips = ranked.groupBy("user_id").agg(F.count(F.lit(1)).alias("frames")).where(F.col("frames") >= _CLIP)
-    draws = clips.select("user_id", F.explode(F.sequence(F.lit(0), F.lit(_PROBES - 1))).alias("draw"))
-    begin = start if start is not None else F.pmod(defects.coin("probe", F.col("user_id"), F.col("draw")), F.lit(_CLIP - 5)).cast("int")
+    """An event's rank is its frame; probes are windows at places of the whole clip that an MD5 decides. Users of fewer
+    events than a window can't be probed."""
+    ranked = _ranked(spark, sf_dir)
+    clips = ranked.groupBy("user_id").agg(F.count(F.lit(1)).alias("frames")).where("frames >= 9")
+    draws = clips.select("user_id", "frames", F.explode(F.sequence(F.lit(0), F.lit(_PROBES - 1))).alias("draw"))
+    begin = start if start is not None else F.pmod(defects.coin("probe", F.col("user_id"), F.col("draw")), F.col("frames") - 5).cast("int")
     asked = draws.select("user_id", "draw", begin.alias("begin")).select("user_id", "draw", "begin", F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("pos"))
     frames = asked.join(ranked, (asked.user_id == ranked.user_id) & (ranked.frame == asked.begin + asked.pos)).select(asked.user_id.cast("string").alias("subject"), "draw", "pos", F.col("frame").alias("frame_id"))
     return frames.withColumn("claimed_id", F.col("frame_id"))
 
 
-def _windows_sql(begin: str = "('0x' || substr(md5(concat_ws('|', 'probe', user_id::VARCHAR, draw::VARCHAR)), 1, 7))::BIGINT % 35", length: int = 5, num_frames: int = 5, claim: str = "frame") -> str:
+def _windows_sql(begin: str = "('0x' || substr(md5(concat_ws('|', 'probe', user_id::VARCHAR, draw::VARCHAR)), 1, 7))::BIGINT % (frames - 5)", length: int = 5, num_frames: int = 5, claim: str = "frame") -> str:
     return f"""WITH r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 frame FROM events),
-    c AS (SELECT user_id FROM r GROUP BY 1 HAVING count(*) >= {_CLIP}), d AS (SELECT user_id, draw FROM c CROSS JOIN range({_PROBES}) t(draw)),
+    k AS (SELECT user_id, count(*) frames FROM r GROUP BY 1), d AS (SELECT user_id, frames, draw FROM k CROSS JOIN range({_PROBES}) t(draw) WHERE frames >= 9),
     a AS (SELECT user_id, draw, {begin} b FROM d), f AS (SELECT a.user_id, a.draw, r.frame - a.b pos, r.frame, {claim} claim FROM a JOIN r ON r.user_id = a.user_id AND r.frame >= a.b AND r.frame < a.b + {length}),
     w AS (SELECT user_id, draw, list(frame ORDER BY pos) ids, list(claim ORDER BY pos) claims FROM f GROUP BY 1, 2),
     g AS (SELECT user_id, count(*) n_probes, count(DISTINCT ids) n_windows, arg_min(ids, draw) first_ids, arg_min(claims, draw) first_claims FROM w GROUP BY 1),
     n AS (SELECT user_id, count(DISTINCT frame) n_ids FROM f GROUP BY 1),
-    v AS (SELECT g.*, n_ids, CASE WHEN {num_frames} <= 1 THEN 'a window of one frame' WHEN len(first_ids) <> {num_frames} THEN 'length' WHEN n_windows = 1 AND first_ids = list_transform(range({max(1, num_frames)}), lambda z: z) THEN 'prefix' WHEN n_windows = 1 THEN 'inert' WHEN first_claims <> first_ids THEN 'mismatch' ELSE '' END message FROM g JOIN n USING (user_id))
-    SELECT user_id::VARCHAR subject, CASE WHEN message = 'a window of one frame' THEN 'N/A' WHEN message <> '' THEN 'FAIL' ELSE 'PASS' END status, message, n_probes, n_windows, n_ids, round(n_ids / {_CLIP}.0, 4) coverage, n_windows = 1 exhaustive FROM v"""
+    v AS (SELECT k.user_id, k.frames, g.* EXCLUDE (user_id), n_ids, CASE WHEN n_probes IS NULL THEN 'no probe' WHEN {num_frames} <= 1 THEN 'a window of one frame' WHEN len(first_ids) <> {num_frames} THEN 'length' WHEN n_windows = 1 AND first_ids = list_transform(range({max(1, num_frames)}), lambda z: z) THEN 'prefix' WHEN n_windows = 1 THEN 'inert' WHEN first_claims <> first_ids THEN 'mismatch' ELSE '' END message FROM k LEFT JOIN g USING (user_id) LEFT JOIN n USING (user_id))
+    SELECT user_id::VARCHAR subject, CASE WHEN message = 'no probe' THEN 'SKIP' WHEN message = 'a window of one frame' THEN 'N/A' WHEN message <> '' THEN 'FAIL' ELSE 'PASS' END status, message, n_probes, n_windows, n_ids, round(n_ids / frames::DOUBLE, 4) coverage, n_windows = 1 exhaustive FROM v"""
 
 
 @query(_windows_sql())
 def temporal_windows_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gates.temporal_window(_windows(spark, sf_dir), 5, _CLIP)
+    return gates.temporal_window(_windows(spark, sf_dir), 5, clips=_clips(spark, sf_dir))
 
 
 @query(_windows_sql("0"))
 def temporal_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gates.temporal_window(_windows(spark, sf_dir, F.lit(0)), 5, _CLIP)
+    return gates.temporal_window(_windows(spark, sf_dir, F.lit(0)), 5, clips=_clips(spark, sf_dir))
 
 
 @query(_windows_sql("3"))
 def temporal_frozen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gates.temporal_window(_windows(spark, sf_dir, F.lit(3)), 5, _CLIP)
+    return gates.temporal_window(_windows(spark, sf_dir, F.lit(3)), 5, clips=_clips(spark, sf_dir))
 
 
 @query(_windows_sql(length=1))
 def temporal_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gates.temporal_window(_windows(spark, sf_dir, length=1), 5, _CLIP)
+    return gates.temporal_window(_windows(spark, sf_dir, length=1), 5, clips=_clips(spark, sf_dir))
 
 
 @query(_windows_sql(length=1, num_frames=1))
 def temporal_single(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gates.temporal_window(_windows(spark, sf_dir, length=1), 1, _CLIP)
+    return gates.temporal_window(_windows(spark, sf_dir, length=1), 1, clips=_clips(spark, sf_dir))
 
 
 @query(_windows_sql(claim="r.frame + 1"))
 def temporal_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gates.temporal_window(_windows(spark, sf_dir).withColumn("claimed_id", F.col("frame_id") + 1), 5, _CLIP)
+    return gates.temporal_window(_windows(spark, sf_dir).withColumn("claimed_id", F.col("frame_id") + 1), 5, clips=_clips(spark, sf_dir))
 
 
 # Target transforms ------------------------------------------------------------------------------------------------
@@ -464,22 +478,71 @@ def drift_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.drift(target_transforms_orders(spark, sf_dir), target_undeclared(spark, sf_dir), ["draw", "status"])
 
 
-@query("SELECT label, count(*) n, substr(sha256(string_agg(d, ';' ORDER BY vec_id)), 1, 16) digest FROM (SELECT vec_id, label, array_to_string(list_transform(embedding, lambda v: floor(v::DOUBLE * 1000)::BIGINT::VARCHAR), ',') d FROM embeddings) GROUP BY 1")
+@query("""WITH d AS (SELECT vec_id, label, array_to_string(list_transform(embedding, lambda v: floor(v::DOUBLE * 1000)::BIGINT::VARCHAR), ',') d FROM embeddings),
+    r AS (SELECT label, vec_id // 256 part, count(*) n, sha256(string_agg(d, ';' ORDER BY vec_id)) h FROM d GROUP BY 1, 2)
+    SELECT label, sum(n)::BIGINT n, substr(sha256(string_agg(h, ';' ORDER BY part)), 1, 16) digest FROM r GROUP BY 1""")
 def stream_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digest of each label's vectors, quantised, in order of id."""
+    """Digest of each label's vectors, quantised, in order of id: ranges of 256 ids have a digest each, and a label the
+    digest of those, so that no row holds more than a range's text or 64 letters a range."""
     text = F.array_join(F.transform("embedding", lambda v: F.floor(v.cast("double") * 1000).cast("string")), ",")
-    rows = _t(spark, sf_dir, "embeddings").select("vec_id", "label", text.alias("d"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "d"))), lambda x: x["d"]), ";")
-    return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.substring(F.sha2(joined, 256), 1, 16).alias("digest"))
+    in_order = lambda key, value: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value]), ";"), 256)
+    rows = _t(spark, sf_dir, "embeddings").select("vec_id", "label", text.alias("d"), F.floor(F.col("vec_id") / 256).alias("part"))
+    ranges = rows.groupBy("label", "part").agg(F.count(F.lit(1)).alias("n"), in_order("vec_id", "d").alias("h"))
+    return ranges.groupBy("label").agg(F.sum("n").alias("n"), F.substring(in_order("part", "h"), 1, 16).alias("digest"))
+
+
+#: How index frames are delivered: as levels, in 0..1, in -1..1, with noise of 5 levels, at 0.6 of their contrast; and
+#: whole numbers in 0..1, which are levels and not a range.
+_SHOWN = {"levels": "v", "unit": "v / 255", "signed": "v / 127.5 - 1", "noisy": "v + CASE WHEN j % 2 = 0 THEN 5.0 ELSE -5.0 END", "faint": "v * 0.6", "whole": "CASE WHEN v > 127 THEN 1.0 ELSE 0.0 END"}
 
 
-@query("SELECT range::INT frame_pos, range::INT decoded FROM range(0, 256, 5)")
+@query(f"""WITH f AS (SELECT i, j, (CASE WHEN j // 3 = 0 THEN 0.0 WHEN j // 3 = 1 THEN 255.0 ELSE i END)::DOUBLE v FROM range(256) a(i) CROSS JOIN range(768) b(j)),
+    s AS ({" UNION ALL ".join(f"SELECT '{k}' kind, i, j, ({e})::DOUBLE x FROM f" for k, e in _SHOWN.items())}),
+    e AS (SELECT kind, i, max(x) hi, min(x) lo FROM s GROUP BY 1, 2),
+    l AS (SELECT kind, i, CASE WHEN kind <> 'whole' AND hi <= 1.000001 AND lo >= -0.000001 THEN x * 255 WHEN kind <> 'whole' AND hi <= 1.000001 AND lo >= -1.000001 THEN (x + 1) * 127.5 ELSE x END y FROM s JOIN e USING (kind, i)),
+    m AS (SELECT kind, i, bool_or(abs(y) <= 2) AND bool_or(abs(y - 255) <= 2) anchored, avg(y) mean, stddev_pop(y) spread, round_even(median(y), 0) middle FROM l GROUP BY 1, 2),
+    c AS (SELECT kind, i, avg(CASE WHEN abs(y) <= 2 OR abs(y - 255) <= 2 OR abs(y - middle) <= 2 THEN 1.0 ELSE 0.0 END) share FROM l JOIN m USING (kind, i) GROUP BY 1, 2)
+    SELECT kind, i::INT frame_pos, CASE WHEN NOT anchored THEN CASE WHEN spread <= 2 THEN round_even(mean, 0)::INT END WHEN middle BETWEEN 0 AND 255 AND share >= 0.98 THEN middle::INT END decoded FROM m JOIN c USING (kind, i)""")
 def index_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Index frames, a fifth of them in each numeric convention or layout, read back."""
-    shown = fixtures.frames(spark, "index", 256, (16, 16)).where(F.col("frame_pos") % 5 == 0)
-    kind = F.pmod(F.floor(F.col("frame_pos") / 5), F.lit(3))
-    px = F.when(kind == 0, F.col("px")).when(kind == 1, F.transform("px", lambda v: v / 255)).otherwise(F.transform("px", lambda v: v / 127.5 - 1))
-    return shown.select("frame_pos", stats.decode_index(px).alias("decoded"))
+    """All 256 index frames, delivered in six ways, read back: noise and lost contrast leave no number."""
+    shown = fixtures.frames(spark, "index", 256, (16, 16))
+    ways = [
+        shown.select(F.lit(kind).alias("kind"), "frame_pos", F.expr(f"transform(px, (v, j) -> cast({expr} as double))").alias("px")).select("kind", "frame_pos", stats.decode_index(F.col("px"), kind != "whole").alias("decoded"))
+        for kind, expr in _SHOWN.items()
+    ]
+    return reduce(DataFrame.union, ways)
+
+
+# The audit over several subjects ----------------------------------------------------------------------------------
+
+_AUDIT_LABELS = 12
+
+
+@query(f"""WITH d AS (SELECT 'label_' || l subject, l FROM range({_AUDIT_LABELS}) t(l)),
+    v AS (SELECT label l, min(x) lo, max(x) hi, count(*) FILTER (WHERE NOT isfinite(x)) bad, count(x) n FROM (SELECT label, unnest(embedding)::DOUBLE x FROM embeddings) GROUP BY 1),
+    c AS (SELECT user_id % {_AUDIT_LABELS} l, user_id draw, event_type AS name, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) pos FROM events WHERE user_id % {_AUDIT_LABELS} <> 1),
+    w AS (SELECT *, lag(name) OVER (PARTITION BY draw ORDER BY pos) b FROM c WHERE name IN ('click', 'view')), u AS (SELECT *, row_number() OVER (PARTITION BY draw ORDER BY pos) rn FROM w WHERE b IS NULL OR b <> name),
+    o AS (SELECT l, count(DISTINCT ord) n FROM (SELECT l, draw, string_agg(name, '->' ORDER BY rn) ord FROM u WHERE rn <= 2 GROUP BY 1, 2) GROUP BY 1),
+    g AS (SELECT subject, 'value_range' gate, CASE WHEN n IS NULL THEN 'SKIP' WHEN n = 0 OR bad > 0 OR lo < -0.4 - 1e-5 OR hi > 0.4 + 1e-5 THEN 'FAIL' ELSE 'PASS' END status FROM d LEFT JOIN v USING (l)
+        UNION ALL SELECT subject, 'channel_content', CASE WHEN n IS NULL THEN 'SKIP' ELSE 'PASS' END FROM d LEFT JOIN v USING (l)
+        UNION ALL SELECT subject, 'operator_trace', CASE WHEN o.n IS NULL THEN 'SKIP' WHEN l % 2 = 0 AND o.n = 1 THEN 'FAIL' WHEN l % 2 = 1 AND o.n > 1 THEN 'FAIL' ELSE 'PASS' END FROM d LEFT JOIN o USING (l)
+        UNION ALL SELECT subject, gate, 'N/A' FROM d CROSS JOIN (VALUES ('temporal_window'), ('target_transforms'), ('precomputed_input')) t(gate))
+    SELECT subject, gate, status FROM g UNION ALL SELECT subject, 'verdict', {_VERDICT_SQL} FROM g GROUP BY 1""")
+def audit_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve declared subjects, a label of the vectors each and the events of some users as calls; the last labels
+    have no vectors and one has no calls, and they get their records all the same."""
+    names = [f"label_{i}" for i in range(_AUDIT_LABELS)]
+    vectors = _t(spark, sf_dir, "embeddings").where(F.col("label") < _AUDIT_LABELS)
+    seen = vectors.select(
+        F.concat(F.lit("label_"), F.col("label").cast("string")).alias("subject"), F.lit(LOADER_OUTPUT).alias("boundary"), F.lit(0).cast("long").alias("seed"), F.lit(0).alias("draw"), F.lit("lq").alias("stream"), F.col("vec_id").alias("frame_pos"),
+        F.lit(None).cast("int").alias("claimed_frame_id"), F.lit(1).alias("h"), F.size("embedding").alias("w"), F.lit(1).alias("c"), F.lit("float32").alias("dtype"), F.transform("embedding", lambda x: x.cast("double")).alias("px"),
+    )
+    group = F.pmod("user_id", F.lit(_AUDIT_LABELS))
+    calls = _event_calls(spark, sf_dir).withColumn("user_id", F.col("draw")).where(group != 1).select(F.concat(F.lit("label_"), group.cast("string")).alias("subject"), "draw", "call_pos", "name")
+    contract = ContentContract(StreamContract(lo=-0.4, hi=0.4, channels=1))
+    declared = [Declaration(n, num_frames=1, has_target=False, operator_policy="random_permutation" if i % 2 == 0 else "fixed", content=contract) for i, n in enumerate(names)]
+    results = audit.audit(seen, calls, contracts_frame(spark, dict.fromkeys(names, contract)), declared, ("click", "view"), "sharpen")
+    return results.select("subject", "gate", "status").unionByName(audit.verdicts(results).select("subject", F.lit("verdict").alias("gate"), "status"))
 
 
 @query("""SELECT 'flat' kind, 4 n_frames, 128.0 mean, 128.0 lo, 128.0 hi, 0.0 bimodality UNION ALL SELECT 'checker', 4, 127.5, 0.0, 255.0, 1.0

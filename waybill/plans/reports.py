@@ -50,7 +50,24 @@ def effort(subjects: DataFrame, results: DataFrame) -> DataFrame:
 
 def effort_summary(table: DataFrame) -> DataFrame:
     """Smallest, upper median and largest adapter."""
-    return table.agg(F.count(F.lit(1)).alias("subjects"), F.min("adapter_loc").alias("min_loc"), upper_median(F.col("adapter_loc")).alias("median_loc"), F.max("adapter_loc").alias("max_loc"))
+    middle = upper_median(table, "adapter_loc")
+    return table.agg(F.count(F.lit(1)).alias("subjects"), F.min("adapter_loc").alias("min_loc"), F.lit(middle).cast(table.schema["adapter_loc"].dataType).alias("median_loc"), F.max("adapter_loc").alias("max_loc"))
+
+
+def portability_summary(effort: DataFrame, results: DataFrame, escalated: bool = True) -> DataFrame:
+    """One row on a study of subjects: ``effort`` (subject, outcome of RUN, PARTIAL, UNAVAILABLE, ADAPTER_ERROR,
+    GATE_ERROR; adapter_loc, adapter_seconds, gates_failed, gates_undecl) and its gate records. Lists are in order of
+    name; sizes, times and sums are those of the subjects that ran."""
+    ran = F.col("outcome").isin("RUN", "PARTIAL")
+    names = lambda *kinds: F.array_sort(F.collect_list(F.when(F.col("outcome").isin(*kinds), F.col("subject"))))
+    of = lambda c: F.when(ran, F.col(c))
+    middle = upper_median(effort.where(ran), "adapter_loc")
+    told = effort.agg(
+        F.count(F.lit(1)).alias("subjects_registered"), F.count_if(ran).alias("subjects_run"), names("UNAVAILABLE").alias("subjects_unavailable"), names("PARTIAL").alias("subjects_partial"),
+        names("ADAPTER_ERROR", "GATE_ERROR").alias("subjects_adapter_error"), F.lit(middle).cast("long").alias("median_adapter_loc"), F.min(of("adapter_loc")).alias("min_adapter_loc"), F.max(of("adapter_loc")).alias("max_adapter_loc"),
+        F.max(of("adapter_seconds")).alias("max_adapter_seconds"), F.coalesce(F.sum(of("gates_failed")), F.lit(0)).alias("total_failures"), F.coalesce(F.sum(of("gates_undecl")), F.lit(0)).alias("total_undeclared"),
+    )
+    return told.withColumns({"gate_rows": F.lit(results.count()).cast("long"), "clip_escalation": F.lit(int(escalated))})
 
 
 def drift(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
