@@ -33,6 +33,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -368,17 +369,24 @@ def _valued(names: list[str]):
     return run
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weights (bias last) of the squared-hinge SVM, by Newton steps in the primal."""
-    a = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1)
-    w = np.zeros(a.shape[1])
-    keep = np.eye(len(w)) * ridge
+def _svm(blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]], ridge: float = 1.0, step: int = 16_384) -> np.ndarray:
+    """Weights (bias last) of the squared-hinge SVM on blocks of (rows, labels, weights), by Newton steps in the primal.
+    Sums are added up over parts of the blocks, so that nothing as large as they are is made."""
+    width = blocks[0][0].shape[1] + 1
+    w = np.zeros(width)
+    keep = np.eye(width) * ridge
     keep[-1, -1] = 1e-6
     for _ in range(30):
-        live = y * (a @ w) < 1
-        al, c = a[live].astype(float), weight[live][:, None]
-        new = np.linalg.solve(keep + al.T @ (al * c), al.T @ (c[:, 0] * y[live]))
-        if np.abs(new - w).max() < 1e-7:
+        square, toward = keep.copy(), np.zeros(width)
+        for x, y, weight in blocks:
+            for at in range(0, len(x), step):
+                a = np.concatenate([x[at : at + step], np.ones((len(x[at : at + step]), 1))], axis=1, dtype=float)
+                live = y[at : at + step] * (a @ w) < 1
+                a, c = a[live], weight[at : at + step][live]
+                square += a.T @ (a * c[:, None])
+                toward += a.T @ (c * y[at : at + step][live])
+        new = np.linalg.solve(square, toward)
+        if np.abs(new - w).max() < 1e-8:
             break
         w = new
     return w
@@ -436,9 +444,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> M
     counts = clean.select(F.explode("units").alias("unit")).groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
     valued = stage_table(counts.mapInArrow(_valued(chosen), "unit string, n long, x array<float>"), "units")
     shared = F.exists("x", lambda v: v > 0)
-    negative = valued.where(shared).orderBy("unit").select("n", "x").toArrow()
+    negative = valued.where(shared).select("n", "x").toArrow()
+    lost, rows = negative.column("n").to_numpy().astype(float), _matrix(negative.column("x"), len(chosen))
+    del negative
     far = valued.where(~shared).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # f is the bias on all of them
-    model = _machine(chosen, _matrix(negative.column("x"), len(chosen)), negative.column("n").to_numpy(), far, bags.column("doc").to_pylist(), bags.column("units").to_pylist(), (n - n_pos) / n_pos)
+    lists = bags.column("units").combine_chunks()
+    flat = lists.flatten().dictionary_encode()
+    held = np.split(flat.indices.to_numpy(), np.cumsum(pc.list_value_length(lists).to_numpy())[:-1]) if len(lists) else []
+    model = _machine(chosen, rows, lost, far, bags.column("doc").to_numpy(), held, flat.dictionary.to_pylist(), (n - n_pos) / n_pos)
     told = train.select("toxic", "text").mapInArrow(_labelled(model), "toxic long, decision double").toArrow()
     model.slope, model.shift = _platt(told.column("decision").to_numpy(), told.column("toxic").to_numpy().astype(float))
     return model
@@ -457,25 +470,21 @@ def _labelled(model: Model):
     return run
 
 
-def _machine(names: list[str], negative: np.ndarray, count: np.ndarray, far: int, docs: list[int], sentences: list[list[str]], balance: float) -> Model:
+def _machine(names: list[str], negative: np.ndarray, count: np.ndarray, far: int, docs: np.ndarray, bags: list[np.ndarray], units: list[str], balance: float) -> Model:
     """The SVM on units. negative, count: kernel values of the units in sentences of clean documents, and how often
-    each stands there; far: how often units without any kernel value do. docs, sentences: of toxic documents."""
+    each stands there; far: how often units without any kernel value do. docs, bags: of each sentence of toxic
+    documents, the document and its units, numbers in ``units``."""
     landmarks = Landmarks(names)
     gram = landmarks.kernel([x.removeprefix(WHOLE) for x in names])
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
-    units = sorted({u for s in sentences for u in s})
-    index = {u: i for i, u in enumerate(units)}
     alike = landmarks.kernel(units)
     z = alike @ root
-    # In single precision, as this is the largest thing here; the last row is that of units without any value.
-    minus = np.concatenate([negative @ root.astype(np.float32), np.zeros((1, len(names)), np.float32)])
-    lost = np.r_[count, far].astype(float)
-    bags = [np.array([index[u] for u in s]) for s in sentences]
+    minus = negative @ root.astype(np.float32)  # in single precision, as this is the largest thing here
     f = alike.max(axis=1)  # to begin with: how near a landmark
     margin = np.inf
     w = np.zeros(len(names) + 1)
-    _, doc = np.unique(np.array(docs), return_inverse=True)
+    _, doc = np.unique(docs, return_inverse=True)
     for _ in range(10):
         top = np.array([b[np.argmax(f[b])] for b in bags])  # each sentence's strongest unit
         order = np.lexsort((-f[top], doc))
@@ -484,9 +493,7 @@ def _machine(names: list[str], negative: np.ndarray, count: np.ndarray, far: int
         chosen[first] = True
         chosen |= f[top] > margin
         plus, n = np.unique(top[chosen], return_counts=True)
-        x = np.concatenate([z[plus].astype(np.float32), minus])
-        y = np.r_[np.ones(len(plus)), -np.ones(len(minus))]
-        new = _svm(x, y, np.r_[n * min(balance, 4.0), lost])
+        new = _svm([(z[plus], np.ones(len(plus)), n * min(balance, 4.0)), (minus, -np.ones(len(minus)), count), (np.zeros((1, len(names))), -np.ones(1), np.array([float(far)]))])
         if np.abs(new - w).max() < 1e-6:
             break
         w, margin = new, 0.0
