@@ -450,26 +450,6 @@ def brute_kernel(a, b, order=3, decay=toxicity.DECAY):
     return total
 
 
-def test_landmark_values_are_the_normalised_kernel():
-    names, units = ["blorgon", "zug", "привет", "=abc"], ["blorxgon", "zugmar", "zug", "превед", "собака", "aabbcc", "世界和平"]
-    got = toxicity.Landmarks(names).kernel(units)
-    want = [[brute_kernel(u, x.strip("=")) / np.sqrt(brute_kernel(u, u) * brute_kernel(x.strip("="), x.strip("="))) for x in names] for u in units]
-    assert np.allclose(got, want) and got[4, 2] < 0.2 and not got[6].any()
-
-
-def test_toxicity_scores_by_brute_force(spark):
-    """Each text's score from the kernel's definition: the strongest unit, calibrated."""
-    docs, labels = labelled(spark, 200)
-    model = toxicity.fit(docs, labels)
-    texts = ["you blorxgon there", "krandl e", "v u m p i s h now", "", None, "plain words only", "vum-pish! Krandle?", "a bb"]
-    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
-    plain = [x.removeprefix("=") for x in model.landmarks]
-    for i, text in enumerate(texts):
-        units = {toxicity.unit(t) for t in (text or "").split()} | set(toxicity.spaced((text or "").split()))
-        values = [sum(b * brute_kernel(u, x) / np.sqrt(brute_kernel(u, u) * brute_kernel(x, x)) for b, x in zip(model.beta, plain, strict=True)) + model.bias for u in units if len(u) >= 3]
-        assert abs(got[i] - model.score(max([model.bias, *values]))) < 1e-9
-
-
 def test_kernel_is_the_subsequence_kernel():
     brute = brute_kernel
     pairs = [("idiot", "idxiot"), ("abcabc", "acb"), ("moron", "moron"), ("abc", "xyz")]
