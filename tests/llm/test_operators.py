@@ -450,6 +450,14 @@ def brute_kernel(a, b, order=3, decay=toxicity.DECAY):
     return total
 
 
+def test_kernel_values_are_alike_in_every_script():
+    latin = str.maketrans("бармглотжз", "barmglotjz")
+    units, landmarks = ["бармажлот", "барзмагот", "глотжаба", "молот", "бармаглот"], ["бармаглот", "глотоб", "молозар"]
+    got = toxicity.kernel_values(units, landmarks)
+    assert np.allclose(got, toxicity.kernel_values([u.translate(latin) for u in units], [x.translate(latin) for x in landmarks]))
+    assert 0.5 < got[0, 0] < 1 and got[4, 0] == 1 and not got[3].any()
+
+
 def test_kernel_is_the_subsequence_kernel():
     brute = brute_kernel
     pairs = [("idiot", "idxiot"), ("abcabc", "acb"), ("moron", "moron"), ("abc", "xyz")]

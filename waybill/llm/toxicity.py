@@ -19,6 +19,7 @@ Fitting uses at most ``MAX_TRAIN_DOCS`` labelled documents, chosen by a hash of
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -68,9 +69,8 @@ def spaced(tokens: list[str]) -> list[str]:
 
 
 def _codes(words: list[str], width: int) -> np.ndarray:
-    """Letters as small numbers, 0 past the end."""
-    raw = np.frombuffer("".join(w.ljust(width, "\0") for w in words).encode("utf-32-le"), np.uint32).reshape(len(words), width)
-    return np.minimum(raw, 0x3FF).astype(np.int16)
+    """Letters as their code points, 0 past the end."""
+    return np.frombuffer("".join(w.ljust(width, "\0") for w in words).encode("utf-32-le"), np.uint32).reshape(len(words), width)
 
 
 def subsequence_kernel(a: np.ndarray, b: np.ndarray, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
@@ -92,7 +92,7 @@ def subsequence_kernel(a: np.ndarray, b: np.ndarray, order: int = ORDER, decay:
 def _common(codes: np.ndarray, landmark: np.ndarray) -> np.ndarray:
     """Length of the longest common subsequence of each row with a landmark, bit-parallel."""
     m = len(landmark)
-    masks = np.zeros(0x400, np.uint32)
+    masks = np.zeros(sys.maxunicode + 1, np.uint32)
     for j, c in enumerate(landmark):
         masks[c] |= np.uint32(1 << j)
     v = np.full(len(codes), (1 << m) - 1, np.uint32)
