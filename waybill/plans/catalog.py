@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..contracts import LOADER_OUTPUT, ContentContract, Declaration, StreamContract, contracts_frame
+from ..contracts import LOADER_OUTPUT, ContentContract, Declaration, StreamContract, contracts_frame, invalid_contracts
 from ..functions import stats
 from ..functions.status import fold, verdict
 from ..operators import gates, separability
-from ..sources import fixtures
+from ..operators.guard import StepGuard
+from ..sources import adapters, fixtures
+from ..sources.observations import to_hwc
+from ..streaming.guarded import windowed_range
 from . import audit, defects, reports
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -423,8 +426,8 @@ def certificate_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT subject, max(CASE WHEN gate = 'channel_content' THEN status END) channel_content, max(CASE WHEN gate = 'operator_trace' THEN status END) operator_trace, count(*) FILTER (WHERE gate LIKE 'value_range%') n_range FROM ({_TABLE_GATES_SQL}) GROUP BY 1")
 def portability_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = _table_gates(spark, sf_dir)
-    wide = named.groupBy("subject").pivot("gate", ["channel_content", "operator_trace"]).agg(F.first("status"))
-    return wide.join(named.groupBy("subject").agg(F.count_if(F.col("gate").startswith("value_range")).alias("n_range")), "subject")
+    of = lambda gate: F.max(F.when(F.col("gate") == gate, F.col("status"))).alias(gate)
+    return named.groupBy("subject").agg(of("channel_content"), of("operator_trace"), F.count_if(F.col("gate").startswith("value_range")).alias("n_range"))
 
 
 def _matrix_sql() -> str:
@@ -518,6 +521,14 @@ def index_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 _AUDIT_LABELS = 12
 
 
+def _label_frames(vectors: DataFrame) -> DataFrame:
+    """Observations: a label is a subject, a vector a frame of one channel."""
+    return vectors.select(
+        F.concat(F.lit("label_"), F.col("label").cast("string")).alias("subject"), F.lit(LOADER_OUTPUT).alias("boundary"), F.lit(0).cast("long").alias("seed"), F.lit(0).alias("draw"), F.lit("lq").alias("stream"), F.col("vec_id").alias("frame_pos"),
+        F.lit(None).cast("int").alias("claimed_frame_id"), F.lit(1).alias("h"), F.size("embedding").alias("w"), F.lit(1).alias("c"), F.lit("float32").alias("dtype"), F.transform("embedding", lambda x: x.cast("double")).alias("px"),
+    )
+
+
 @query(f"""WITH d AS (SELECT 'label_' || l subject, l FROM range({_AUDIT_LABELS}) t(l)),
     v AS (SELECT label l, min(x) lo, max(x) hi, count(*) FILTER (WHERE NOT isfinite(x)) bad, count(x) n FROM (SELECT label, unnest(embedding)::DOUBLE x FROM embeddings) GROUP BY 1),
     c AS (SELECT user_id % {_AUDIT_LABELS} l, user_id draw, event_type AS name, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) pos FROM events WHERE user_id % {_AUDIT_LABELS} <> 1),
@@ -532,11 +543,7 @@ def audit_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twelve declared subjects, a label of the vectors each and the events of some users as calls; the last labels
     have no vectors and one has no calls, and they get their records all the same."""
     names = [f"label_{i}" for i in range(_AUDIT_LABELS)]
-    vectors = _t(spark, sf_dir, "embeddings").where(F.col("label") < _AUDIT_LABELS)
-    seen = vectors.select(
-        F.concat(F.lit("label_"), F.col("label").cast("string")).alias("subject"), F.lit(LOADER_OUTPUT).alias("boundary"), F.lit(0).cast("long").alias("seed"), F.lit(0).alias("draw"), F.lit("lq").alias("stream"), F.col("vec_id").alias("frame_pos"),
-        F.lit(None).cast("int").alias("claimed_frame_id"), F.lit(1).alias("h"), F.size("embedding").alias("w"), F.lit(1).alias("c"), F.lit("float32").alias("dtype"), F.transform("embedding", lambda x: x.cast("double")).alias("px"),
-    )
+    seen = _label_frames(_t(spark, sf_dir, "embeddings").where(F.col("label") < _AUDIT_LABELS))
     group = F.pmod("user_id", F.lit(_AUDIT_LABELS))
     calls = _event_calls(spark, sf_dir).withColumn("user_id", F.col("draw")).where(group != 1).select(F.concat(F.lit("label_"), group.cast("string")).alias("subject"), "draw", "call_pos", "name")
     contract = ContentContract(StreamContract(lo=-0.4, hi=0.4, channels=1))
@@ -556,3 +563,120 @@ def fixture_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         mean = F.aggregate("px", F.lit(0.0), lambda a, v: a + v) / F.size("px")
         rows.append(px.agg(F.count(F.lit(1)).cast("int").alias("n_frames"), F.round(F.avg(mean), 6).alias("mean"), F.min(F.array_min("px")).alias("lo"), F.max(F.array_max("px")).alias("hi"), F.round(F.avg(stats.bimodality(F.col("px"))), 6).alias("bimodality")).select(F.lit(kind).alias("kind"), "n_frames", "mean", "lo", "hi", "bimodality"))
     return reduce(DataFrame.union, rows)
+
+
+# Guard, adapters and the remaining reports ------------------------------------------------------------------------
+
+
+@query("""WITH v AS (SELECT 'label_' || label subject, min(x) lo, max(x) hi, count(*) FILTER (WHERE NOT isfinite(x)) bad FROM (SELECT label, unnest(embedding)::DOUBLE x FROM embeddings WHERE label < 12) GROUP BY 1)
+    SELECT subject, 'value_range[training_step_input]' gate, 'lq' stream, CASE WHEN bad > 0 OR lo < -0.3 - 1e-5 OR hi > 0.3 + 1e-5 THEN 'FAIL' ELSE 'PASS' END status FROM v
+    UNION ALL SELECT subject, 'channel_content[training_step_input]', 'lq', 'FAIL' FROM v WHERE subject <> 'label_0' UNION ALL SELECT subject, 'channel_content[training_step_input]', 'lq', 'PASS' FROM v WHERE subject = 'label_0'""")
+def guard_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors as one batch before its step: a label is a subject; all but the first declare a channel too many."""
+    names = [f"label_{i}" for i in range(_AUDIT_LABELS)]
+    asked = contracts_frame(spark, {n: ContentContract(StreamContract(lo=-0.3, hi=0.3, channels=1 if i == 0 else 2)) for i, n in enumerate(names)})
+    batch = _label_frames(_t(spark, sf_dir, "embeddings").where(F.col("label") < _AUDIT_LABELS))
+    return StepGuard(asked).observe(batch).select("subject", "gate", "stream", "status")
+
+
+def _pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as pictures of 8 by 8, numbered by their id."""
+    return _t(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("int").alias("frame_pos"), F.lit(8).alias("h"), F.lit(8).alias("w"), F.lit(1).alias("c"), F.transform("embedding", lambda x: x.cast("double")).alias("px"))
+
+
+@query("""WITH n AS (SELECT count(*) n FROM embeddings), d AS (SELECT range draw, range % (SELECT n FROM n) vec_id FROM range((SELECT n + 100 FROM n)))
+    SELECT draw::INT draw, stream, vec_id::INT claimed_frame_id, round(CASE WHEN stream = 'gt' THEN s ELSE -s END, 6) total
+    FROM d JOIN (SELECT vec_id, list_sum(list_transform(embedding, lambda v: v::DOUBLE)) s FROM embeddings) e USING (vec_id) CROSS JOIN (VALUES ('gt'), ('lq')) t(stream)""")
+def adapter_online(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inputs made from targets as they are read (here: turned in sign), a hundred draws past the end."""
+    frames = _pictures(spark, sf_dir)
+    made = adapters.OnlineInput("vectors", frames, lambda px: F.transform(px, lambda v: -v), frames.count() + 100, dtype="float32")
+    total = F.aggregate("px", F.lit(0.0), lambda acc, v: acc + v)
+    return made.observe(spark, Declaration("vectors", num_frames=1)).select("draw", "stream", "claimed_frame_id", F.round(total, 6).alias("total"))
+
+
+@query("""WITH f AS (SELECT label clip, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 frame FROM embeddings),
+    k AS (SELECT clip, count(*) n, row_number() OVER (ORDER BY clip) - 1 rk FROM f GROUP BY 1 HAVING count(*) >= 5),
+    d AS (SELECT range draw, range % (SELECT count(*) FROM k) rk, range // (SELECT count(*) FROM k) turn FROM range(1000)),
+    w AS (SELECT draw, clip, turn % (n - 4) b FROM d JOIN k USING (rk))
+    SELECT draw::INT draw, (f.frame - b)::INT frame_pos, f.frame::INT claimed_frame_id, w.clip::INT clip FROM w JOIN f ON f.clip = w.clip AND f.frame BETWEEN b AND b + 4""")
+def adapter_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as clips in order of id: a thousand windows of five frames."""
+    place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    frames = _t(spark, sf_dir, "embeddings").select(F.col("label").alias("clip"), place.cast("int").alias("frame_pos"), F.lit(8).alias("h"), F.lit(8).alias("w"), F.lit(1).alias("c"), F.array(F.col("label").cast("double")).alias("px"))
+    got = adapters.ClipFolder("labels", frames, None, 1000, dtype="float32").observe(spark, Declaration("labels", num_frames=5, has_target=False))
+    return got.select("draw", "frame_pos", "claimed_frame_id", F.col("px")[0].cast("int").alias("clip"))
+
+
+@query("""SELECT vec_id, array_to_string(list_transform(range(64), lambda i: floor(embedding[(i % 4) * 16 + i // 4 + 1]::DOUBLE * 1000)::BIGINT::VARCHAR), ',') px FROM embeddings""")
+def channels_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as channel-first arrays of 4 by 4 by 4, turned to height, width, channel."""
+    turned = to_hwc(F.col("embedding"), F.lit(4), F.lit(4), F.lit(4))
+    return _t(spark, sf_dir, "embeddings").select("vec_id", F.array_join(F.transform(turned, lambda v: F.floor(v.cast("double") * 1000).cast("string")), ",").alias("px"))
+
+
+@query("""SELECT vec_id, substr(sha256(unhex(array_to_string(list_transform(embedding, lambda v: printf('%02X', least(255, greatest(0, round_even(v::DOUBLE * 128 + 128, 0)::INT)))), ''))), 1, 16) content FROM embeddings""")
+def frame_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The content hash of every vector as a frame of bytes."""
+    px = F.transform("embedding", lambda v: v.cast("double") * 128 + 128)
+    return _t(spark, sf_dir, "embeddings").select("vec_id", stats.content_hash(px).alias("content"))
+
+
+_ODD_LO, _ODD_HI = "CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE s_acctbal END", "CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE s_nationkey * 300.0 END"
+
+
+@query(f"""WITH c AS (SELECT s_suppkey::VARCHAR subject, ({_ODD_LO})::DOUBLE lo, ({_ODD_HI})::DOUBLE hi, (s_nationkey - 1)::INT channels FROM supplier),
+    r AS (SELECT subject, CASE WHEN (lo IS NULL) <> (hi IS NULL) THEN 'a range has both ends' WHEN lo >= hi THEN 'a range has finite ends in rising order' WHEN channels < 1 THEN 'a stream has a channel at least' WHEN channels < 2 THEN 'distinct channels need two at least' END reason FROM c)
+    SELECT subject, reason FROM r WHERE reason IS NOT NULL""")
+def contracts_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contracts made of the suppliers' balances, and why some are none."""
+    rows = _t(spark, sf_dir, "supplier").selectExpr(
+        "cast(s_suppkey as string) AS subject", "'lq' AS stream", f"cast({_ODD_LO} as double) AS lo", f"cast({_ODD_HI} as double) AS hi", "1e-5D AS range_atol", "false AS require_extrema", "true AS require_finite", "cast(s_nationkey - 1 as int) AS channels",
+        "true AS require_distinct", "1e-5D AS channel_atol",
+    )
+    return invalid_contracts(rows).select("subject", "reason")
+
+
+_MATRIX = "CASE WHEN value > 60 THEN 'FAIL' ELSE 'PASS' END"
+
+
+@query(f"""WITH m AS (SELECT CASE WHEN user_id % 10 = 0 THEN 'none' ELSE 'd' END defect, {_MATRIX} status, user_id % 10 = 3 is_target FROM events)
+    SELECT count(*) FILTER (WHERE is_target) targets, count(*) FILTER (WHERE is_target AND status = 'FAIL') detected, count(*) FILTER (WHERE status = 'FAIL' AND NOT is_target AND defect <> 'none') collateral, count(*) matrix_rows,
+    (SELECT count(*) FROM events WHERE event_type = 'click') alarm_rows, (SELECT count(*) FROM events WHERE event_type = 'click' AND value > 60) false_alarms FROM m""")
+def study_summary_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The study's one-row summary; events stand in for the records of defects and of clean seeds."""
+    events = _t(spark, sf_dir, "events")
+    matrix = events.select(F.when(F.pmod("user_id", F.lit(10)) == 0, "none").otherwise("d").alias("defect"), F.expr(_MATRIX).alias("status"), (F.pmod("user_id", F.lit(10)) == 3).alias("is_target"))
+    matrix = matrix.withColumn("detected", F.col("is_target") & (F.col("status") == "FAIL"))
+    return reports.study_summary(matrix, events.where("event_type = 'click'").select((F.col("value") > 60).alias("false_alarm")))
+
+
+_USER_STATUS = "CASE WHEN event_type = 'click' THEN 'SKIP' WHEN event_type = 'view' THEN 'N/A' WHEN value > 60 THEN 'FAIL' WHEN value > 30 THEN 'UNDECL' ELSE 'PASS' END"
+
+
+@query(f"""WITH t AS (SELECT user_id::VARCHAR subject, max(length(event_type)) adapter_loc, quantile_cont(value, 0.5) gates_seconds, min(value) lo, max(value) hi, count(*) repeats FROM events GROUP BY 1),
+    r AS (SELECT user_id::VARCHAR subject, {_USER_STATUS} status FROM events), c AS (SELECT subject, count(*) FILTER (WHERE status NOT IN ('SKIP', 'ERROR')) a, count(*) FILTER (WHERE status = 'FAIL') f, count(*) FILTER (WHERE status = 'UNDECL') u FROM r GROUP BY 1)
+    SELECT subject, adapter_loc::INT adapter_loc, round(gates_seconds, 6) gates_seconds, round(lo, 6) gates_seconds_min, round(hi, 6) gates_seconds_max, repeats, a gates_applicable, f gates_failed, u gates_undecl FROM t JOIN c USING (subject)""")
+def effort_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The effort report with users as subjects and events as repeats and records."""
+    events = _t(spark, sf_dir, "events").withColumn("subject", F.col("user_id").cast("string"))
+    sizes = events.select("subject", F.length("event_type").alias("adapter_loc"), F.col("value").alias("gates_seconds"))
+    got = reports.effort(sizes, events.select("subject", F.expr(_USER_STATUS).alias("status")))
+    return got.withColumns({c: F.round(c, 6) for c in ("gates_seconds", "gates_seconds_min", "gates_seconds_max")})
+
+
+_QUOTED = "(" + '""".*?"""' + "|" + "''" * 3 + ".*?" + "''" * 3 + ")"  # a docstring, as SQL text
+
+
+@query(f"""WITH t AS (SELECT doc_id, string_split(regexp_replace(text, '{_QUOTED}', '', 'gs'), chr(10)) x FROM documents)
+    SELECT doc_id::VARCHAR AS name, len(list_filter(x, lambda l: trim(l) <> '' AND NOT starts_with(trim(l), '#')))::INT adapter_loc FROM t""")
+def code_lines_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of code, counted in the documents' texts."""
+    return reports.code_lines(_t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("name"), F.col("text").alias("content")))
+
+
+@query("SELECT epoch(time_bucket(INTERVAL 1 day, ts))::BIGINT start, count(value) n, count(*) FILTER (WHERE NOT isfinite(value)) n_bad, min(value) v_min, max(value) v_max FROM events GROUP BY 1")
+def range_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream's range statistics by day, over the whole table at once."""
+    got = windowed_range(_t(spark, sf_dir, "events"), "ts", "value", "1 day")
+    return got.select(F.unix_timestamp(F.col("window")["start"]).alias("start"), "n", "n_bad", "v_min", "v_max")

@@ -9,7 +9,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..contracts import LOADER_OUTPUT, ContentContract, Declaration, StreamContract
+from ..contracts import LOADER_OUTPUT, Declaration, StreamContract
 
 
 class Adapter(Protocol):
@@ -47,8 +47,7 @@ def read_images(spark: SparkSession, path: str, stream: str) -> DataFrame:
     """A folder of pictures as frames, in order of their names. Bytes come as unsigned values, channels as stored."""
     got = spark.read.format("image").load(path).select("image.*")
     order = F.row_number().over(_by_origin())
-    hexes = F.hex("data")
-    px = F.transform(F.sequence(F.lit(0), F.length("data") - 1), lambda i: F.conv(F.substring(hexes, 2 * i + 1, F.lit(2)), 16, 10).cast("double"))
+    px = F.transform(F.regexp_extract_all(F.hex("data"), F.lit("(..)")), lambda byte: F.conv(byte, 16, 10).cast("double"))
     return got.select(F.lit(stream).alias("stream"), (order - 1).alias("frame_pos"), F.col("height").alias("h"), F.col("width").alias("w"), F.col("nChannels").alias("c"), px.alias("px"))
 
 
@@ -63,25 +62,11 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _contract(lo: float, hi: float, channels: int, anchors: bool = True) -> StreamContract:
+def contract_of_range(lo: float, hi: float, channels: int, anchors: bool = True) -> StreamContract:
+    """A range whose ends are reached (``anchors``), and channels that differ where there are several."""
     return StreamContract(lo=lo, hi=hi, require_extrema=anchors, channels=channels, require_distinct=channels > 1)
 
 
-#: Contracts of the usual kinds of restoration loaders: what stands in a range of 0..255, 0..1 or -1..1, with or
-#: without a target, of clips or single pictures.
-PRESETS: dict[str, Declaration] = {
-    d.subject: d
-    for d in (
-        Declaration("clip_rgb255", num_frames=5, use_precomputed=True, content=ContentContract(_contract(0, 255, 3), _contract(0, 255, 3))),
-        Declaration("blind_image_rgb255", num_frames=1, operator_policy="random_permutation", content=ContentContract(_contract(0, 255, 3, anchors=False), _contract(0, 255, 3))),
-        Declaration("paired_image_rgb1", num_frames=1, use_precomputed=True, content=ContentContract(_contract(0, 1, 3), _contract(0, 1, 3))),
-        Declaration("input_only_rgb1", num_frames=1, has_target=False, content=ContentContract(_contract(0, 1, 3, anchors=False))),
-        Declaration("lab_split", num_frames=1, content=ContentContract(_contract(-1, 1, 1, anchors=False), _contract(-1, 1, 2, anchors=False))),
-        Declaration("long_clip_rgb255", num_frames=5, clip_length=100, use_precomputed=True, content=ContentContract(_contract(0, 255, 3), _contract(0, 255, 3))),
-    )
-}
-
-
 # Sinks and files --------------------------------------------------------------------------------------------------
 
 
