@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+from collections import Counter
 
 import duckdb
 import pytest
@@ -103,6 +104,23 @@ def test_reports(spark):
     assert reports.code_lines(code).first().adapter_loc == 2
 
 
+def test_drift_counts_copies(spark, monkeypatch):
+    monkeypatch.setattr(reports, "COPIES", 3, raising=False)
+    frame = lambda *rows: spark.createDataFrame([(k, s) for k, s, n in rows for _ in range(n)], "k long, status string")
+    before, after = frame((1, "a", 9), (2, "a", 2), (None, None, 5), (4, "b", 1)), frame((1, "a", 2), (2, "a", 2), (None, None, 6), (4, "c", 4))
+    got = Counter(map(tuple, reports.drift(before, after, ["k", "status"]).collect()))
+    assert got == {(1, "a", "before"): 7, (None, None, "after"): 1, (4, "b", "before"): 1, (4, "c", "after"): 4}
+
+
+def test_drift_parts_follow_the_tables(spark, monkeypatch):
+    """Each table is read once, and the records a task holds are bounded by what the tables weigh."""
+    monkeypatch.setattr(reports, "PART_BYTES", 10_000, raising=False)
+    frame = catalog.drift_diff(spark, SF)
+    assert frame._jdf.queryExecution().sparkPlan().collectLeaves().size() == 2
+    held = [r[0] for r in frame.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).select("n").collect()]
+    assert sum(held) == 3000 and len(held) > 10 and max(held) < 500
+
+
 def test_stream_guard(spark, tmp_path):
     asked = contracts_frame(spark, {"s": ContentContract(StreamContract(lo=0.0, hi=255.0, channels=3))})
     frames = sources.observed(fixtures.make_pair(spark, 2, (8, 8), "signature", "signature").where("stream = 'lq'"), "s")

@@ -158,13 +158,28 @@ def target_transforms(frames: DataFrame, calls: DataFrame, name: str, expected:
     Without a declared target nothing is joined or counted."""
     if not has_target:
         return frames.select("subject", "draw", F.lit("N/A").alias("status"), F.lit("no target declared").alias("message"), F.lit(None).cast("long").alias("n_calls"), F.lit(None).cast("double").alias("per_frame"))
+    status = transform_status(expected, declared)
+    message = F.when(_absent(), "target declared but absent").when(status == "PASS", "").when(status == "UNDECL", "transforms that nobody declared").otherwise("another number of transforms")
+    return transform_counts(frames, calls, name).select("subject", "draw", status.alias("status"), message.alias("message"), "n_calls", _per_frame().alias("per_frame"))
+
+
+def transform_counts(frames: DataFrame, calls: DataFrame, name: str) -> DataFrame:
+    """The frames with n_calls: calls of ``name`` in their draw."""
     counts = calls.where(F.col("name") == name).groupBy("subject", "draw").agg(F.count(F.lit(1)).alias("n_calls"))
-    rows = frames.join(counts, ["subject", "draw"], "left").withColumn("n_calls", F.coalesce("n_calls", F.lit(0).cast("long")))
-    per = F.when(F.col("n_target") > 0, F.col("n_calls") / F.col("n_target")).otherwise(F.lit(0.0))
-    absent = F.coalesce(F.col("n_target"), F.lit(0)) == 0
-    status = F.when(absent, "FAIL").when(F.abs(per - expected) < 1e-9, "PASS").when(F.lit(expected == 0 and not declared), "UNDECL").otherwise("FAIL")
-    message = F.when(absent, "target declared but absent").when(status == "PASS", "").when(status == "UNDECL", "transforms that nobody declared").otherwise("another number of transforms")
-    return rows.select("subject", "draw", status.alias("status"), message.alias("message"), "n_calls", per.alias("per_frame"))
+    return frames.join(counts, ["subject", "draw"], "left").withColumn("n_calls", F.coalesce("n_calls", F.lit(0).cast("long")))
+
+
+def _per_frame() -> Column:
+    return F.when(F.col("n_target") > 0, F.col("n_calls") / F.col("n_target")).otherwise(F.lit(0.0))
+
+
+def _absent() -> Column:
+    return F.coalesce(F.col("n_target"), F.lit(0)) == 0
+
+
+def transform_status(expected: float, declared: bool = True) -> Column:
+    """Status of a row of ``transform_counts``."""
+    return F.when(_absent(), "FAIL").when(F.abs(_per_frame() - expected) < 1e-9, "PASS").when(F.lit(expected == 0 and not declared), "UNDECL").otherwise("FAIL")
 
 
 # Operator order ---------------------------------------------------------------------------------------------------
